@@ -64,7 +64,7 @@ def _deps(text: str, seen: set[str]) -> None:
 def sql(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """``WITH <needed views> <body>``; ``extra`` adds query-local CTEs after the views."""
     extra = extra or []
-    text = body + " ".join(s for _, s in extra)
+    text = body + " " + " ".join(s for _, s in extra)
     seen: set[str] = set()
     _deps(text, seen)
     ctes = [(n, _VIEW_SQL[n]) for n in _ORDER if n in seen] + extra
