@@ -270,18 +270,24 @@ def q_group_first_positive(spark, sf):
     return _out(S.group_first_positive(qidx, pos, hard, neg, corpus, G, DEPTH, SEED, EPOCH, n_corpus=n))
 
 
-@register("group_from_records", sql(
-    GROUP_OUT.format(body="SELECT qid, 0 AS slot, docid FROM tr_pos WHERE pos = 0 UNION ALL "
-                          "SELECT qid, 1 + j, docid FROM rec_smp UNION ALL SELECT qid, 1 + j, docid FROM rec_ch"),
-    extra=TR_CTES + [
-        ("rec_neg", "SELECT qid, pos, docid FROM tr_hard WHERE qid IN (SELECT qid FROM tr_pos)"),
-        ("rec_n", "SELECT qid, count(*) AS n FROM rec_neg GROUP BY qid"),
-        ("rec_ch", f"SELECT s.qid, s.j, p.docid FROM (SELECT qid, n, unnest(range(0, {G - 1})) AS j FROM rec_n WHERE n < {G - 1}) s "
-                   "JOIN rec_neg p ON p.qid = s.qid AND p.pos = " + d_hash60(str(SEED), str(EPOCH), "s.qid", "'records'", "s.j") + " % s.n")]
+REC_BODY = GROUP_OUT.format(body="SELECT qid, 0 AS slot, docid FROM tr_pos WHERE pos = 0 UNION ALL "
+                                 "SELECT qid, 1 + j, docid FROM rec_smp UNION ALL SELECT qid, 1 + j, docid FROM rec_ch")
+REC_EXTRA = TR_CTES + [
+    ("rec_neg", "SELECT qid, pos, docid FROM tr_hard WHERE qid IN (SELECT qid FROM tr_pos)"),
+    ("rec_n", "SELECT qid, count(*) AS n FROM rec_neg GROUP BY qid"),
+    ("rec_ch", f"SELECT s.qid, s.j, p.docid FROM (SELECT qid, n, unnest(range(0, {G - 1})) AS j FROM rec_n WHERE n < {G - 1}) s "
+               "JOIN rec_neg p ON p.qid = s.qid AND p.pos = " + d_hash60(str(SEED), str(EPOCH), "s.qid", "'records'", "s.j") + " % s.n")] \
     + d_sample("rec", f"SELECT qid, 1 AS part, pos, docid FROM rec_neg WHERE qid IN (SELECT qid FROM rec_n WHERE n >= {G - 1})",
-               f"SELECT qid, {G - 1} AS k FROM rec_n WHERE n >= {G - 1}", "records")))
+               f"SELECT qid, {G - 1} AS k FROM rec_n WHERE n >= {G - 1}", "records")
+
+
+@register("group_from_records", sql(REC_BODY, extra=REC_EXTRA))
 def q_group_from_records(spark, sf):
     """Records: positives = labelled candidates, negatives = the other candidates."""
+    return _out(record_groups(spark, sf))
+
+
+def record_groups(spark, sf):
     pos = tr_positives(spark, sf)
     neg = tr_hard(spark, sf).join(pos.select("qid").distinct(), "qid", "left_semi")
-    return _out(S.group_from_records(pos, neg, G, SEED, EPOCH))
+    return S.group_from_records(pos, neg, G, SEED, EPOCH)
