@@ -21,8 +21,10 @@ def _c(x) -> Column:
 
 def bracket_indices(reply) -> Column:
     """Every ``[n]`` in the reply as ``n - 1`` (0-based), in order, duplicates kept."""
-    return F.transform(F.regexp_extract_all(_c(reply), F.lit(BRACKET_NUMBER), 1),
-                       lambda x: x.try_cast("bigint") - 1)
+    nums = F.transform(F.regexp_extract_all(_c(reply), F.lit(BRACKET_NUMBER), 1), lambda x: x.try_cast("bigint") - 1)
+    # numbers too long for bigint are out of range anyway; drop them (a null would
+    # turn array_contains into null)
+    return F.filter(nums, lambda x: x.isNotNull())
 
 
 def parse_selection(reply, ids, zero: str = "ignore") -> Column:

@@ -21,14 +21,22 @@ from pyspark.sql import functions as F
 from labelrank.functions.hashing import hash60, hash_order
 
 
-def _draw_rounds(qk: DataFrame, corpus: DataFrame, n_corpus: int, qid: str, k: str, seed: int, epoch: int,
-                 tag: str, factor: int, margin: int) -> DataFrame:
-    """First k distinct corpus ids of each query's draw sequence, using the first
-    ``factor*(2k+margin)`` draws.  Columns: qid, j (rank 0..k-1), docid."""
-    draws = qk.select(qid, k, F.explode(F.sequence(
-        F.lit(0), F.col(k) * (2 * factor) + F.lit(margin * factor) - 1)).alias("__j"))
+def _n_draws(n: int, k: F.Column, margin: int) -> F.Column:
+    """Draws per query: ``2k + margin`` when the corpus is at least 4k, else a
+    coupon-collector bound ``N (ln N + 20)`` (all of a small corpus is then
+    reached with probability ~1 - 2e-9)."""
+    small = F.ceil(F.lit(float(n)) * (F.log(F.lit(float(max(n, 1)))) + F.lit(20.0))).cast("bigint")
+    return F.when(F.lit(n) >= k * 4, k * 2 + F.lit(margin)).otherwise(small)
+
+
+def _draws(qk: DataFrame, corpus: DataFrame, n: int, qid: str, k: str, seed: int, epoch: int,
+           tag: str, margin: int) -> DataFrame:
+    """First k distinct corpus ids of each query's hashed draw sequence.
+    Columns: qid, j (rank 0..k-1), docid."""
+    draws = qk.select(qid, k, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                   _n_draws(n, F.col(k), margin) - 1)).alias("__j"))
     draws = draws.withColumn("offset", F.pmod(hash60(F.lit(seed), F.lit(epoch), F.col(qid), F.lit(tag), F.col("__j")),
-                                              F.lit(n_corpus)))
+                                              F.lit(n)))
     got = draws.join(corpus.select("offset", "docid"), "offset")
     first = got.groupBy(qid, k, "docid").agg(F.min("__j").alias("__j"))
     w = Window.partitionBy(qid).orderBy("__j")
@@ -36,32 +44,38 @@ def _draw_rounds(qk: DataFrame, corpus: DataFrame, n_corpus: int, qid: str, k: s
             .select(qid, F.col("j").cast("bigint").alias("j"), "docid"))
 
 
+@F.udf("string")
+def _exhausted(q):
+    raise RuntimeError(f"random_negatives: draw sequence exhausted for query {q}")
+
+
+# nondeterministic: Catalyst neither folds it nor pushes predicates on its result
+# below the anti join, so it runs only on rows that really are short
+_exhausted = _exhausted.asNondeterministic()
+
+
 def random_negatives(qk: DataFrame, corpus: DataFrame, qid: str = "qid", k: str = "k", seed: int = 42,
-                     epoch: int = 0, tag: str = "rand", margin: int = 32, max_rounds: int = 12,
-                     n_corpus: int | None = None) -> DataFrame:
+                     epoch: int = 0, tag: str = "rand", margin: int = 32, n_corpus: int | None = None) -> DataFrame:
     """``k`` distinct random corpus ids per query (``random.sample(corpus, k)``).
 
     ``qk``: (qid, k).  ``corpus``: (docid, offset) with dense offsets 0..N-1.
-    Draws ``2k+margin`` hashed offsets; any query left short (many collisions)
-    is redrawn with twice as many draws, which extends the same sequence, so
-    the result is always "the first k distinct ids of the sequence".
+    The result is "the first k distinct ids of the query's hashed draw
+    sequence", from a number of draws chosen so that a shortfall is
+    negligible; a query that still comes out short fails the job instead of
+    returning fewer ids.  One lazy plan, no driver round trip.
     """
     n = corpus.count() if n_corpus is None else n_corpus
-    too_big = qk.filter(F.col(k) > n).limit(1).count()
-    if too_big:
-        raise ValueError(f"sample larger than population ({n})")
-    qk = qk.filter(F.col(k) > 0)
-    result = _draw_rounds(qk, corpus, n, qid, k, seed, epoch, tag, 1, margin)
-    factor = 1
-    for _ in range(max_rounds):
-        short = qk.join(result.groupBy(qid).agg(F.count(F.lit(1)).alias("__got")), qid, "left") \
-                  .filter(F.coalesce(F.col("__got"), F.lit(0)) < F.col(k)).select(qid, k)
-        if short.limit(1).count() == 0:
-            return result
-        factor *= 2
-        redo = _draw_rounds(short, corpus, n, qid, k, seed, epoch, tag, factor, margin)
-        result = result.join(short.select(qid), qid, "left_anti").unionByName(redo)
-    raise RuntimeError("random_negatives did not converge")
+    docid_type = corpus.schema["docid"].dataType.simpleString()
+    # k > N cannot be met (random.sample raises): fail inside the job
+    qk = qk.filter(F.col(k) > 0).withColumn(k, F.when(F.col(k) > n, F.raise_error(
+        F.lit(f"sample larger than population ({n})"))).otherwise(F.col(k)))
+    got = _draws(qk, corpus, n, qid, k, seed, epoch, tag, margin)
+    full = got.groupBy(qid).agg(F.count(F.lit(1)).alias("__got")).join(qk.select(qid, k), qid) \
+              .filter(F.col("__got") >= F.col(k)).select(qid)
+    short = qk.join(full, qid, "left_anti")
+    fail = short.select(qid, F.lit(0).cast("bigint").alias("j"), _exhausted(F.col(qid).cast("string"))
+                        .cast(docid_type).alias("docid"))
+    return got.unionByName(fail)
 
 
 def sample_without_replacement(pool: DataFrame, need: DataFrame, bound: int, qid: str = "qid",

@@ -265,3 +265,18 @@ def q_cached_dataset(spark, sf):
     again = io.cached_dataset(spark, path, compute)  # second call reads the cache
     assert first.columns == again.columns
     return again.select("docid", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
+
+
+@register("write_vectors", sql(
+    "SELECT vec_id AS id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS dim, round(CAST(CAST(unnest(v) AS FLOAT) AS DOUBLE), 6) "
+    "AS value FROM (SELECT vec_id, list_transform(range(64), lambda j: list_sum(list_transform(range(64), lambda i: "
+    "CAST(embedding[i + 1] AS DOUBLE) * (((7 * i + 3 * j) % 11) - 5) / 10.0))) AS v FROM embeddings)"))
+def q_write_vectors(spark, sf):
+    """Projected vectors stored as float32 Parquet (with the row-count check), read back."""
+    from labelrank.operators.vectors import formula_weights, linear_project
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = scratch_path(spark, "projected")
+    io.write_vectors(linear_project(e, "embedding", formula_weights(64, 64)), path, "id", "projected")
+    v = io.read_vectors(spark, path)
+    return v.select("id", F.posexplode("embedding").alias("dim", "value")).select(
+        "id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))

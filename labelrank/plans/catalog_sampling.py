@@ -78,8 +78,9 @@ def d_random(p: str, qk: str, tag: str) -> list[tuple[str, str]]:
     """CTEs ``{p}_rand(qid, j, docid)``: first k distinct draws per query."""
     return [
         (f"{p}_draw", f"SELECT qid, k, jj, {d_hash60(str(SEED), str(EPOCH), 'qid', repr(tag), 'jj')} % "
-                      f"(SELECT count(*) FROM tr_corpus) AS off FROM (SELECT qid, k, unnest(range(0, 2 * k + 32)) AS jj "
-                      f"FROM ({qk}) WHERE k > 0)"),
+                      f"(SELECT count(*) FROM tr_corpus) AS off FROM (SELECT qid, k, unnest(range(0, CASE WHEN (SELECT count(*) FROM tr_corpus) >= 4 * k THEN 2 * k + 32 "
+                      f"ELSE CAST(ceil((SELECT count(*) FROM tr_corpus) * (ln((SELECT count(*) FROM tr_corpus)) + 20)) AS BIGINT) "
+                      f"END)) AS jj FROM ({qk}) WHERE k > 0)"),
         (f"{p}_first", f"SELECT d.qid, d.k, c.docid, min(d.jj) AS mj FROM {p}_draw d JOIN tr_corpus c "
                        f"ON c.\"offset\" = d.off GROUP BY d.qid, d.k, c.docid"),
         (f"{p}_rand", f"SELECT qid, j, docid FROM (SELECT qid, k, docid, row_number() OVER (PARTITION BY qid ORDER BY mj) - 1 "
@@ -213,8 +214,8 @@ def q_corpus_fill(spark, sf):
     extra=TR_CTES + [ROT_CTE] + d_fill("gr", f"SELECT * FROM ({POOL_ALL}) WHERE qid IN (SELECT qid FROM tr_q)",
                                        f"SELECT qid, {G - 1} AS k FROM tr_q", "rotate")))
 def q_group_rotate(spark, sf):
-    return _out(S.group_rotate(*tr_inputs(spark, sf)[:5], group_size=G, neg_depth=DEPTH, seed=SEED, epoch=EPOCH,
-                               n_corpus=tr_inputs(spark, sf)[5]))
+    qidx, pos, hard, neg, corpus, n = tr_inputs(spark, sf)
+    return _out(S.group_rotate(qidx, pos, hard, neg, corpus, G, DEPTH, SEED, EPOCH, n_corpus=n))
 
 
 @register("group_pooled", sql(
