@@ -44,14 +44,14 @@ def _draws(qk: DataFrame, corpus: DataFrame, n: int, qid: str, k: str, seed: int
             .select(qid, F.col("j").cast("bigint").alias("j"), "docid"))
 
 
-@F.udf("string")
-def _exhausted(q):
+def _raise_exhausted(q):
     raise RuntimeError(f"random_negatives: draw sequence exhausted for query {q}")
 
 
-# nondeterministic: Catalyst neither folds it nor pushes predicates on its result
-# below the anti join, so it runs only on rows that really are short
-_exhausted = _exhausted.asNondeterministic()
+def _exhausted(col: F.Column) -> F.Column:
+    # nondeterministic: Catalyst neither folds it nor pushes predicates on its result
+    # below the anti join, so it runs only on rows that really are short
+    return F.udf(_raise_exhausted, "string").asNondeterministic()(col)
 
 
 def random_negatives(qk: DataFrame, corpus: DataFrame, qid: str = "qid", k: str = "k", seed: int = 42,
