@@ -1,0 +1,2 @@
+"""No streaming operators: the reference reads finite files to the end (no event
+time, watermarks or state).  Batch jobs in ``labelrank.plans.jobs`` cover it."""
