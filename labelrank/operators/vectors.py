@@ -31,9 +31,10 @@ def _c(x) -> Column:
 def hash_token_ids(text, max_length: int | None = 512, vocab: int = VOCAB) -> Column:
     """Stand-in tokenizer: lower-cased non-empty space pieces -> ``md5`` bucket + 3
     (0 pad, 1 CLS, 2 SEP); no special tokens; cut to ``max_length``."""
-    toks = F.filter(F.split(F.lower(_c(text)), " ", -1), lambda t: t != "")
-    ids = F.transform(toks, lambda t: (F.pmod(hash60(t), F.lit(vocab)) + N_SPECIAL).cast("int"))
-    return F.slice(ids, 1, max_length) if max_length else ids
+    toks = F.array_remove(F.split(F.lower(_c(text)), " ", -1), "")
+    if max_length:
+        toks = F.slice(toks, 1, max_length)  # cut before hashing: only kept tokens are hashed
+    return F.transform(toks, lambda t: (F.pmod(hash60(t), F.lit(vocab)) + N_SPECIAL).cast("int"))
 
 
 def tokenize_corpus(df: DataFrame, id_col: str, text: str = "text", title: str | None = None,
@@ -85,9 +86,10 @@ def hashed_bow_encode(df: DataFrame, id_col: str, text: str = "text", dim: int =
     """Stand-in encoder in pure SQL: lower-cased non-empty space tokens, bucket
     ``md5(token) mod dim``, counts, L2-normalised.  One aggregation keyed by id;
     the partial aggregate collapses each text inside its own task."""
-    toks = df.select(id_col, F.explode_outer(
-        F.filter(F.split(F.lower(F.col(text)), " ", -1), lambda t: t != "")).alias("__t"))
+    toks = df.select(id_col, F.explode_outer(F.array_remove(F.split(F.lower(F.col(text)), " ", -1), "")).alias("__t"))
     toks = toks.withColumn("__b", F.pmod(hash60(F.col("__t")), F.lit(dim)))
+    # one pass: dim conditional counts per text (codegen'd; the partial aggregate
+    # combines each text inside its own task, so the shuffle is one row per text)
     counts = toks.groupBy(id_col).agg(*[F.count(F.when(F.col("__b") == b, True)).alias(f"__c{b}") for b in range(dim)])
     vec = F.array(*[F.col(f"__c{b}").cast("double") for b in range(dim)])
     return counts.select(id_col, (l2_normalize(vec) if normalize else vec).alias("embedding"))

@@ -39,7 +39,7 @@ def q_tokenize_corpus(spark, sf):
     f"SELECT docid, array_to_string(list_concat([1], {d_tok_ids('text', None)}[1:126], [2]), ' ') AS input_ids "
     "FROM fx_passages"))
 def q_truncate_tokens(spark, sf):
-    t = V.tokenize_corpus(fx.fx_passages(spark, sf), "docid", "text", max_length=None)
+    t = V.tokenize_corpus(fx.fx_passages(spark, sf), "docid", "text", max_length=126)
     return t.select("docid", ids_str(V.truncate_tokens(F.col("input_ids"), 128)).alias("input_ids"))
 
 
@@ -86,7 +86,7 @@ BATCH_CTES = REC_EXTRA + [ORDER_CTE, ("recg", REC_BODY),
     "FROM bg b JOIN fx_passages d ON d.docid = b.docid)))", extra=BATCH_CTES))
 def q_pad_batch(spark, sf):
     bg, _ = batched_groups(spark, sf)
-    toks = V.tokenize_corpus(fx.fx_passages(spark, sf), "docid", "text", max_length=None)
+    toks = V.tokenize_corpus(fx.fx_passages(spark, sf), "docid", "text", max_length=126)
     t = bg.join(toks, "docid").select("batch_id", "p_idx", V.truncate_tokens(F.col("input_ids"), 128).alias("input_ids"))
     p = V.pad_batch(t)
     return p.select("batch_id", "p_idx", F.size("input_ids").cast("bigint").alias("n_tokens"),

@@ -136,7 +136,7 @@ def build_training(positives: DataFrame, negatives: DataFrame, corpus: DataFrame
     order = assign_batches(train_order(qidx, "idx", True, seed, epoch), batch_size)
     g = groups.join(order.select("qid", "batch_id", "q_idx"), "qid") \
         .withColumn("p_idx", (F.col("q_idx") * group_size + F.col("slot")).cast("bigint"))
-    toks = tokenize_corpus(docs, "docid", "text", max_length=None)
+    toks = tokenize_corpus(docs, "docid", "text", max_length=passage_max_len - 2)
     g = g.join(toks, "docid").withColumn("input_ids", truncate_tokens(F.col("input_ids"), passage_max_len))
     return pad_batch(g)
 
