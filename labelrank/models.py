@@ -37,15 +37,20 @@ PAD_ID, CLS_ID, SEP_ID = 0, 1, 2
 N_SPECIAL = 3
 # ---------------------------------------------------------------------------------
 
-_INSTANCES: dict[int, object] = {}
+_INSTANCES: dict[int, tuple[object, object]] = {}
 
 
 def instance(factory: Callable[[], object]) -> object:
-    """One plug-in instance per Python worker process and factory."""
+    """One plug-in instance per Python worker process and factory.
+
+    The factory itself is kept in the cache so its ``id`` cannot be reused by
+    another object while the entry exists (workers are reused across tasks)."""
     key = id(factory)
-    if key not in _INSTANCES:
-        _INSTANCES[key] = factory()
-    return _INSTANCES[key]
+    hit = _INSTANCES.get(key)
+    if hit is None or hit[0] is not factory:
+        hit = (factory, factory())
+        _INSTANCES[key] = hit
+    return hit[1]
 
 
 def _tokens(text: str) -> set[str]:
