@@ -43,12 +43,18 @@ def _block_counts(nq: int, np_: int, q_block_rows: int, p_block_rows: int,
 def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
               q_id: str = "qid", p_id: str = "pid", vec: str = "embedding",
               q_vec: str | None = None, p_vec: str | None = None,
-              q_block_rows: int = 4096, p_block_rows: int = 65536,
-              tile_rows: int = 256, min_tasks: int | None = None) -> DataFrame:
+              q_block_rows: int | None = None, p_block_rows: int | None = None,
+              block_bytes: int = 256 << 20, tile_rows: int = 256, min_tasks: int | None = None) -> DataFrame:
     """Exact top-k by inner product for every query.
 
     Returns ``(q_id, p_id, rank, score)``; ranks from 1 ordered by score desc
     then passage id asc; fewer than k rows when the corpus is smaller than k.
+
+    Block sizes default to a memory budget: a passage block holds about
+    ``block_bytes`` of float64 vectors, a query block a quarter of it, and a
+    score tile ``tile_rows`` x block rows.  Larger passage blocks mean fewer
+    candidates to merge (about k per query per passage block); more query
+    blocks mean more copies of the passages.
     """
     spark = queries.sparkSession
     q_vec = q_vec or vec
@@ -57,10 +63,13 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
     p = passages.select(F.col(p_id).alias("__p"), F.col(p_vec).alias("__pv"))
     q_type = q.schema["__q"].dataType.simpleString()
     p_type = p.schema["__p"].dataType.simpleString()
-    # two single-row counts size the blocks
+    # two counts and one vector length size the blocks (single-row results)
     nq, np_ = q.count(), p.count()
     if nq == 0 or np_ == 0:
         return spark.createDataFrame([], f"{q_id} {q_type}, {p_id} {p_type}, rank int, score double")
+    dim = max(1, p.select(F.size("__pv")).first()[0])
+    p_block_rows = p_block_rows or max(1024, block_bytes // (8 * dim))
+    q_block_rows = q_block_rows or max(256, block_bytes // (4 * 8 * dim))
     qb, pb = _block_counts(nq, np_, q_block_rows, p_block_rows,
                            min_tasks or spark.sparkContext.defaultParallelism)
     q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("__q"), F.lit(qb)))

@@ -47,7 +47,7 @@ def global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     ``order_cols`` must be unique so recomputation after an executor loss is
     identical.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                .withColumn("__part", F.spark_partition_id())
                .withColumn("__mono", F.monotonically_increasing_id()))
