@@ -60,6 +60,16 @@ def global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
             .drop("__part", "__mono", "__base", "__start"))
 
 
+def position_within(df: DataFrame, key: str, order_cols: list[str], name: str = "pos") -> DataFrame:
+    """Dense 0-based position of each row inside its ``key`` in ``order_cols`` order,
+    without a per-key window: a global index over (key, order) minus the index of
+    the key's first row (a partial-aggregated min).  A hot key is spread over
+    many tasks instead of being sorted in one."""
+    g = global_index(df, [key] + order_cols, "__gi")
+    first = g.groupBy(key).agg(F.min("__gi").alias("__g0"))
+    return g.join(first, key).withColumn(name, F.col("__gi") - F.col("__g0")).drop("__gi", "__g0")
+
+
 def rotate_positive(positives: Column, idx: Column, seed: int = 42, epoch: int = 0) -> Column:
     """Positive at ``(idx + seed + epoch) mod len(positives)`` (the hash of an int is the int)."""
     return F.get(positives, F.pmod(idx + F.lit(seed) + F.lit(epoch), F.size(positives)))

@@ -112,16 +112,19 @@ def read_positives(spark: SparkSession, path) -> DataFrame:
 
 
 def read_negatives(spark: SparkSession, path, depth: int | None = None) -> DataFrame:
-    """``qid \\t n1,n2`` lines; lines of one qid concatenate in file order -> long
+    """``qid \t n1,n2`` lines; lines of one qid concatenate in file order -> long
     (qid, pos, docid).  With ``depth`` only the first ``depth`` per qid are kept
-    (a ``row_number <= depth`` top-k, partially applied before the shuffle)."""
+    (a ``row_number <= depth`` top-k, partially applied before the shuffle);
+    without it positions come from :func:`position_within` (no per-qid window)."""
+    from labelrank.operators.ranking import position_within
     df = read_lines(spark, path, numbered=True)
     f = F.split(F.col("value"), "\t", -1)
     ex = df.select(F.get(f, 0).alias("qid"), "line_no", F.posexplode(F.split(F.get(f, 1), ",", -1)).alias("i", "docid"))
-    w = Window.partitionBy("qid").orderBy("line_no", "i")
-    out = ex.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
     if depth is not None:
-        out = out.filter(F.col("pos") < depth)
+        w = Window.partitionBy("qid").orderBy("line_no", "i")
+        out = ex.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("pos") < depth)
+    else:
+        out = position_within(ex, "qid", ["line_no", "i"], "pos").withColumn("pos", F.col("pos").cast("bigint"))
     return out.select("qid", "pos", "docid")
 
 

@@ -187,3 +187,25 @@ def test_corpus_tsv_quotes_are_data(spark):
     spark.createDataFrame([('7\t"quoted" text',), ("8\tTitle\tbody\textra",)], "value string").coalesce(1).write.text(path)
     rows = sorted(tuple(r) for r in io.read_corpus_tsv(spark, path).collect())
     assert rows == [("7", None, '"quoted" text', 0), ("8", "Title", "body", 1)]
+
+
+def test_position_within_skewed_key(spark):
+    from labelrank.operators.ranking import position_within
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 7).alias("key"),
+                                  F.col("id").alias("o"))
+    rows = position_within(df.repartition(6), "key", ["o"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["key"], []).append((r["o"], r["pos"]))
+    for key, v in by.items():
+        v.sort()
+        assert [p for _, p in v] == list(range(len(v))), key
+
+
+def test_read_negatives_concatenates_lines_and_depth(spark):
+    path = scratch_path(spark, "neg")
+    spark.createDataFrame([("q1\ta,b",), ("q2\t",), ("q1\tc",)], "value string").coalesce(1).write.text(path)
+    got = sorted((r["qid"], r["pos"], r["docid"]) for r in io.read_negatives(spark, path).collect())
+    assert got == [("q1", 0, "a"), ("q1", 1, "b"), ("q1", 2, "c"), ("q2", 0, "")]
+    top = sorted((r["qid"], r["pos"], r["docid"]) for r in io.read_negatives(spark, path, depth=2).collect())
+    assert top == [("q1", 0, "a"), ("q1", 1, "b"), ("q2", 0, "")]
