@@ -23,6 +23,15 @@ def hash60(*parts) -> Column:
     return F.conv(F.substring(F.md5(key_string(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
+def hash60_mod(m: int, *parts) -> Column:
+    """``hash60(parts) mod m``.  When m divides 16^j (a power of two), only the last
+    j hex digits of the 15-digit prefix matter, so fewer digits are converted."""
+    for j in range(1, 16):
+        if (16 ** j) % m == 0:
+            return F.pmod(F.conv(F.substring(F.md5(key_string(*parts)), 16 - j, j), 16, 10).cast("bigint"), F.lit(m))
+    return F.pmod(hash60(*parts), F.lit(m))
+
+
 def hash_order(*parts) -> Column:
     """Sort key for a seeded shuffle: the full md5 hex string."""
     return F.md5(key_string(*parts))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelrank.functions.hashing import hash60
+from labelrank.functions.hashing import hash60, hash60_mod
 from labelrank.models import CLS_ID, N_SPECIAL, PAD_ID, SEP_ID, instance
 from labelrank.operators.knn import dot
 
@@ -87,7 +87,7 @@ def hashed_bow_encode(df: DataFrame, id_col: str, text: str = "text", dim: int =
     ``md5(token) mod dim``, counts, L2-normalised.  One aggregation keyed by id;
     the partial aggregate collapses each text inside its own task."""
     toks = df.select(id_col, F.explode_outer(F.array_remove(F.split(F.lower(F.col(text)), " ", -1), "")).alias("__t"))
-    toks = toks.withColumn("__b", F.pmod(hash60(F.col("__t")), F.lit(dim)))
+    toks = toks.withColumn("__b", hash60_mod(dim, F.col("__t")))
     # one pass: dim conditional counts per text (codegen'd; the partial aggregate
     # combines each text inside its own task, so the shuffle is one row per text)
     counts = toks.groupBy(id_col).agg(*[F.count(F.when(F.col("__b") == b, True)).alias(f"__c{b}") for b in range(dim)])

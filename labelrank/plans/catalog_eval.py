@@ -208,8 +208,9 @@ def q_rank_list_stats(spark, sf):
 
 
 @register("group_lists", sql("""
-    SELECT qid, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY rel DESC, pid) AS items FROM fx_qrels GROUP BY qid"""))
+    SELECT qid, CAST(0 AS BIGINT) AS chunk, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY rel DESC, pid) AS items
+    FROM fx_qrels GROUP BY qid"""))
 def q_group_lists(spark, sf):
-    q = fx.fx_qrels(spark, sf).withColumn("o", F.struct((-F.col("rel")).alias("r"), F.col("pid")))
-    out = M.group_lists(q, "qid", "pid", "o")
-    return out.select("qid", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+    q = fx.fx_qrels(spark, sf).withColumn("neg_rel", -F.col("rel"))
+    out = M.group_lists(q, "qid", "pid", ["neg_rel", "pid"])
+    return out.select("qid", "chunk", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))

@@ -209,3 +209,10 @@ def test_read_negatives_concatenates_lines_and_depth(spark):
     assert got == [("q1", 0, "a"), ("q1", 1, "b"), ("q1", 2, "c"), ("q2", 0, "")]
     top = sorted((r["qid"], r["pos"], r["docid"]) for r in io.read_negatives(spark, path, depth=2).collect())
     assert top == [("q1", 0, "a"), ("q1", 1, "b"), ("q2", 0, "")]
+
+
+def test_group_lists_chunks_keep_whole_ordered_list(spark):
+    df = spark.range(25).select(F.lit("q").alias("k"), F.col("id").alias("item"), (-F.col("id")).alias("o"))
+    rows = sorted(M.group_lists(df, "k", "item", ["o"], chunk_size=10).collect(), key=lambda r: r["chunk"])
+    assert [r["chunk"] for r in rows] == [0, 1, 2]
+    assert [x for r in rows for x in r["items"]] == list(range(24, -1, -1))
