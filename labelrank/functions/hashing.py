@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def key_string(*parts) -> Column:
     """``concat_ws('|', parts...)`` with every part cast to string."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    if len(cols) == 1:  # concat_ws of one part is the part itself
+        return cols[0].cast("string")
     return F.concat_ws("|", *[c.cast("string") for c in cols])
 
 

@@ -7,7 +7,6 @@ reader and returns the parsed rows; the oracle is SQL over the source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelrank.operators.metrics import eval_msmarco

@@ -22,7 +22,6 @@ from labelrank.operators.lookup import attach_passages, attach_teacher_scores
 from labelrank.operators.metrics import eval_msmarco
 from labelrank.operators.ranking import assign_batches, train_order
 from labelrank.operators.vectors import pad_batch, tokenize_corpus, truncate_tokens
-from labelrank.session import scratch_path
 from labelrank.sources import files as io
 
 
@@ -147,7 +146,3 @@ def evaluate(spark, run_path: str, qrels_path: str, metrics_path: str | None = N
     if metrics_path:
         io.write_metrics(m, metrics_path)
     return m
-
-
-def scratch(spark, name: str) -> str:
-    return scratch_path(spark, name)
