@@ -28,15 +28,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def _block_counts(nq: int, np_: int, q_block_rows: int, p_block_rows: int,
-                  min_tasks: int) -> tuple[int, int]:
+def _block_counts(nq: int, np_: int, q_block_rows: int, p_block_rows: int, min_tasks: int,
+                  k: int = 1000, dim: int = 768) -> tuple[int, int]:
+    """Block counts from the memory budget, then widened to ``min_tasks`` tasks.
+
+    Each widening step doubles the side that adds fewer shuffled bytes: another
+    query split copies every passage vector once more (``N * dim * 8`` per
+    existing query block); another passage split adds up to k candidates per
+    query per new block (``Q * min(k, block) * 24``).  Blocks stay worth a
+    matrix product (>= 128 queries, >= 512 passages).
+    """
     qb = max(1, math.ceil(nq / q_block_rows))
     pb = max(1, math.ceil(np_ / p_block_rows))
-    # widen for parallelism while blocks stay worth a matrix product
-    while qb * pb < min_tasks and np_ / (pb * 2) >= 512:
-        pb *= 2
-    while qb * pb < min_tasks and nq / (qb * 2) >= 128:
-        qb *= 2
+    while qb * pb < min_tasks:
+        can_q = nq / (qb * 2) >= 128
+        can_p = np_ / (pb * 2) >= 512
+        if not (can_q or can_p):
+            break
+        cost_q = np_ * dim * 8 * qb
+        cost_p = nq * min(k, np_ / (pb * 2)) * 24 * pb
+        if can_q and (not can_p or cost_q <= cost_p):
+            qb *= 2
+        else:
+            pb *= 2
     return qb, pb
 
 
@@ -71,7 +85,7 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
     p_block_rows = p_block_rows or max(1024, block_bytes // (8 * dim))
     q_block_rows = q_block_rows or max(256, block_bytes // (4 * 8 * dim))
     qb, pb = _block_counts(nq, np_, q_block_rows, p_block_rows,
-                           min_tasks or spark.sparkContext.defaultParallelism)
+                           min_tasks or spark.sparkContext.defaultParallelism, int(k), dim)
     q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("__q"), F.lit(qb)))
              .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)).cast("array<bigint>"))))
     p_rep = (p.withColumn("pb", F.pmod(F.xxhash64("__p"), F.lit(pb)))
