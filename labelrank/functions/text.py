@@ -39,8 +39,11 @@ def title_sep_join(title, text, sep: str = "[SEP]", use_title: bool = True) -> C
 
 
 def truncate_words(text, n: int = 300) -> Column:
-    """First ``n`` pieces of ``text.split(" ")`` (empty pieces count) joined by a space."""
-    return F.array_join(F.slice(F.split(_c(text), " ", -1), 1, n), " ")
+    """First ``n`` pieces of ``text.split(" ")`` (empty pieces count) joined by a space.
+
+    Written as an anchored regex that stops at the n-th space, so a long text is
+    scanned only up to its cut instead of being split into an array."""
+    return F.regexp_extract(_c(text), rf"^(?:[^ ]* ){{0,{n - 1}}}[^ ]*", 0)
 
 
 def strip_reasoning(reply) -> Column:

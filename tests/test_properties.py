@@ -33,3 +33,22 @@ def test_groups_invariant_under_repartition(spark):
     assert ra == rb
     sizes = a.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("s")).collect()
     assert all(r["n"] == 8 and r["s"] == 8 for r in sizes)
+
+
+def test_truncate_words_equals_python_split(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from labelrank.functions.text import truncate_words
+
+    texts = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(alphabet=" ab\n\t", max_size=30))
+    def collect(t):
+        texts.append(t)
+    collect()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3):
+        got = [r[0] for r in df.select(truncate_words("t", n)).collect()]
+        assert got == [" ".join(t.split(" ")[:n]) for t in texts]
