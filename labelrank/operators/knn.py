@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelrank.operators.ranking import rank_by_score
+from labelrank.session import ship_package
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -71,6 +72,7 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
     blocks mean more copies of the passages.
     """
     spark = queries.sparkSession
+    ship_package(spark)
     q_vec = q_vec or vec
     p_vec = p_vec or vec
     q = queries.select(F.col(q_id).alias("__q"), F.col(q_vec).alias("__qv"))

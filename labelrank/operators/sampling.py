@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelrank.functions.hashing import hash60, hash_order
+from labelrank.session import ship_package
 
 
 def _n_draws(n: int, k: F.Column, margin: int) -> F.Column:
@@ -64,6 +65,7 @@ def random_negatives(qk: DataFrame, corpus: DataFrame, qid: str = "qid", k: str
     negligible; a query that still comes out short fails the job instead of
     returning fewer ids.  One lazy plan, no driver round trip.
     """
+    ship_package(qk.sparkSession)
     n = corpus.count() if n_corpus is None else n_corpus
     docid_type = corpus.schema["docid"].dataType.simpleString()
     # k > N cannot be met (random.sample raises): fail inside the job

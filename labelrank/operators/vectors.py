@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from labelrank.functions.hashing import hash60, hash60_mod
 from labelrank.models import CLS_ID, N_SPECIAL, PAD_ID, SEP_ID, instance
 from labelrank.operators.knn import dot
+from labelrank.session import ship_package
 
 VOCAB = 30522
 BOW_DIM = 64
@@ -49,6 +50,7 @@ def tokenize_corpus(df: DataFrame, id_col: str, text: str = "text", title: str |
     if tokenizer_factory is None:
         return src.select(id_col, hash_token_ids(F.col("__t"), max_length).alias("input_ids"))
     id_type = df.schema[id_col].dataType.simpleString()
+    ship_package(df.sparkSession)
 
     def run(it):
         tok = instance(tokenizer_factory)
@@ -98,6 +100,7 @@ def hashed_bow_encode(df: DataFrame, id_col: str, text: str = "text", dim: int =
 def batch_encode(df: DataFrame, id_col: str, text: str, encoder_factory: Callable, dim: int) -> DataFrame:
     """User encoder over Arrow batches: ``(id, embedding array<float>)``."""
     id_type = df.schema[id_col].dataType.simpleString()
+    ship_package(df.sparkSession)
 
     def run(it):
         enc = instance(encoder_factory)
@@ -135,6 +138,7 @@ def linear_project(df: DataFrame, vec: str, weights: np.ndarray, bias: np.ndarra
     b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema = f"{fields}, `{out}` array<double>"
+    ship_package(df.sparkSession)
 
     def run(it):
         for pdf in it:

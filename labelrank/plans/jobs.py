@@ -22,6 +22,7 @@ from labelrank.operators.lookup import attach_passages, attach_teacher_scores
 from labelrank.operators.metrics import eval_msmarco
 from labelrank.operators.ranking import assign_batches, train_order
 from labelrank.operators.vectors import pad_batch, tokenize_corpus, truncate_tokens
+from labelrank.session import ship_package
 from labelrank.sources import files as io
 
 
@@ -30,6 +31,7 @@ def batch_generate(df: DataFrame, factory: Callable, out_col: str, keep: list[st
     """Prompt rows -> reply column.  ``keep`` columns pass through; ``context``
     columns are also shown to the generator (stand-ins use them, models read
     ``prompt``).  With ``materialize`` (a path) the replies are written and read back."""
+    ship_package(df.sparkSession)
     cols = list(dict.fromkeys(keep + ["prompt"] + (context or [])))
     src = df.select(*cols)
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)

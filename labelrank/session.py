@@ -63,3 +63,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the driver tables (parquet) from ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelrank`` importable in Python workers (once per application).
+
+    Operators that run Python on executors (cogroup/mapInPandas/UDFs) pickle
+    references to this package; ``addPyFile`` distributes a zip of it with the
+    job, which is how code reaches executors on a cluster as well.
+    """
+    import zipfile
+
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:  # pragma: no cover - Spark Connect: code is shipped by the client
+        return
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="labelrank-pkg-"), "labelrank.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(key)
