@@ -52,3 +52,19 @@ def test_truncate_words_equals_python_split(spark):
     for n in (1, 3):
         got = [r[0] for r in df.select(truncate_words("t", n)).collect()]
         assert got == [" ".join(t.split(" ")[:n]) for t in texts]
+
+
+def test_knn_block_planner_bounds():
+    import math
+
+    from labelrank.operators.knn import _block_counts
+    budget, dim = 256 << 20, 768
+    p_rows, q_rows = budget // (8 * dim), budget // (4 * 8 * dim)
+    for nq, npass in ((7_000, 8_800_000), (500_000, 8_800_000), (2_000, 2_000), (1, 10)):
+        qb, pb = _block_counts(nq, npass, q_rows, p_rows, 1000, 1000, dim)
+        # memory per task never above the budget sizing
+        assert math.ceil(npass / pb) <= p_rows and math.ceil(nq / qb) <= q_rows
+        # widened to the task target unless blocks would become too small
+        assert qb * pb >= 1000 or (nq / (qb * 2) < 128 and npass / (pb * 2) < 512)
+    # small corpus, many queries: split queries (cheap passage copies) instead of adding candidates
+    assert _block_counts(2_000, 2_000, 131072, 524288, 8, 1000, 64) == (8, 1)
