@@ -27,13 +27,22 @@ def bracket_indices(reply) -> Column:
     return F.filter(nums, lambda x: x.isNotNull())
 
 
-def parse_selection(reply, ids, zero: str = "ignore") -> Column:
+def _reply(reply, strip: bool) -> Column:
+    if not strip:
+        return _c(reply)
+    from labelrank.functions.text import strip_reasoning
+    return strip_reasoning(reply)
+
+
+def parse_selection(reply, ids, zero: str = "ignore", strip: bool = False) -> Column:
     """0/1 vector as long as ``ids``: position i is 1 when ``[i+1]`` occurs in the reply.
 
     Out-of-range numbers are ignored.  ``[0]`` is ignored by default;
     ``zero='wrap'`` marks the last passage, as Python's ``list[-1]`` does.
+    The raw reply is parsed, reasoning included (parity); ``strip=True`` parses
+    only the text after the reasoning block.
     """
-    nums = bracket_indices(reply)
+    nums = bracket_indices(_reply(reply, strip))
     n = F.size(_c(ids))
 
     def score(_, i):
@@ -44,11 +53,11 @@ def parse_selection(reply, ids, zero: str = "ignore") -> Column:
     return F.transform(_c(ids), score)
 
 
-def parse_ranking(reply, ids) -> tuple[Column, Column]:
+def parse_ranking(reply, ids, strip: bool = False) -> tuple[Column, Column]:
     """``[n]`` markers -> 0-based, first occurrence kept, in range; returns
-    ``(ranking_score, ranked_passage_ids)``."""
+    ``(ranking_score, ranked_passage_ids)``.  ``strip=True`` skips the reasoning block."""
     n = F.size(_c(ids))
-    order = F.filter(F.array_distinct(bracket_indices(reply)), lambda x: (x >= 0) & (x < n))
+    order = F.filter(F.array_distinct(bracket_indices(_reply(reply, strip))), lambda x: (x >= 0) & (x < n))
     return order, F.transform(order, lambda i: F.get(_c(ids), i.cast("int")))
 
 

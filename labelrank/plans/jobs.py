@@ -55,14 +55,14 @@ def _truncated(col="passages"):
 
 
 def annotate_relevance(candidates: DataFrame, factory: Callable, materialize: str | None = None,
-                       zero: str = "ignore") -> DataFrame:
+                       zero: str = "ignore", strip: bool = False) -> DataFrame:
     """candidates -> relevance prompt -> generate -> 0/1 ``relevance_score`` per passage."""
     f = formatted(candidates)
     prompts = f.select("query_id", "query", "passages_ids", _truncated(),
                        P.render_chat(P.relevance_messages(F.col("query"), F.col("passages"))).alias("prompt"))
     gen = batch_generate(prompts.withColumnRenamed("passages_trunc", "passages"), factory, "relevance_output",
                          ["query_id", "passages_ids"], ["query", "passages"], materialize)
-    return gen.withColumn("relevance_score", R.parse_selection("relevance_output", "passages_ids", zero))
+    return gen.withColumn("relevance_score", R.parse_selection("relevance_output", "passages_ids", zero, strip))
 
 
 def annotate_answer(candidates: DataFrame, factory: Callable, materialize: str | None = None) -> DataFrame:

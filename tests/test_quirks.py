@@ -216,3 +216,13 @@ def test_group_lists_chunks_keep_whole_ordered_list(spark):
     rows = sorted(M.group_lists(df, "k", "item", ["o"], chunk_size=10).collect(), key=lambda r: r["chunk"])
     assert [r["chunk"] for r in rows] == [0, 1, 2]
     assert [x for r in rows for x in r["items"]] == list(range(24, -1, -1))
+
+
+def test_reasoning_is_parsed_unless_stripped(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], "<think>maybe [2]</think>My selection:[[1]].")],
+                               "ids array<string>, r string")
+    raw = df.select(R.parse_selection("r", "ids").alias("s")).first()["s"]
+    stripped = df.select(R.parse_selection("r", "ids", strip=True).alias("s")).first()["s"]
+    assert raw == [1, 1, 0] and stripped == [1, 0, 0]
+    order, _ = R.parse_ranking("r", "ids", strip=True)
+    assert df.select(order.alias("o")).first()["o"] == [0]
