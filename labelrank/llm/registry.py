@@ -20,4 +20,4 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every operator module so that its query registers."""
-    from labelrank.llm import ngram_join  # noqa: F401
+    from labelrank.llm import bpe, chat, ngram_join, secrets, warc  # noqa: F401
