@@ -32,8 +32,10 @@ U = np.uint64
 SIG = np.dtype([("key", "<u8"), ("fp", "<u8")])
 #: Broadcast a table of ids only up to this many rows (16 bytes each); beyond it, shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members, and elements of their sets, of a block that one task compares with another block.
+BLOCK, BLOCK_ELEMENTS = 1024, 2_000_000
+#: A group of the candidate graph is compared as a whole up to this many members, else by bucket.
+GROUP = 8192
 #: Chance that an element of one set lies in an unrelated set, for the cost model only.
 CHANCE = 0.1
 
@@ -258,24 +260,39 @@ def _block_links(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": rows[:, 0].copy(), "b": rows[:, 1].copy()})
 
 
-def remaining_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining_links(buckets: DataFrame, pairs: DataFrame, comps: DataFrame, sets: DataFrame,
+                    percent: int) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
-    A bucket is cut into blocks of about BLOCK members and every two blocks meet in a task
-    of bounded size, so each pair of members is compared somewhere."""
-    rows = (buckets.select(F.col("a").alias("bucket"), F.col("b").alias("fp")).distinct()
-            .join(comps.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left")
-            .withColumn("comp", F.coalesce("comp", "fp")))
-    mixed = (rows.groupBy("bucket")
-             .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
-             .filter("c0 <> c1")
-             .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    tasks = (rows.join(mixed, "bucket")
+    The unit of comparison is a group of the candidate graph, where a member's set travels once
+    per block of the group, or, for groups of more than GROUP members, each bucket.  A unit is cut
+    into blocks of bounded size and every two blocks meet in a task, so each pair of members of
+    a bucket is compared somewhere."""
+    rows = (connected_components(pairs).toDF("fp", "unit")
+            .join(comps.toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+            .join(sets.select("fp", "n"), "fp"))
+    rows = write_scratch(rows, "groups")
+
+    def mixed(t):
+        return (t.groupBy("unit").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                                      F.count("*").alias("size"), F.sum("n").alias("total"))
+                .filter("c0 <> c1")
+                .select("unit", "size", F.greatest(F.ceil(F.col("size") / BLOCK),
+                                                   F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int").alias("blocks")))
+
+    units = mixed(rows)
+    small = rows.join(units.filter(F.col("size") <= GROUP), "unit")
+    in_large = rows.join(units.filter(F.col("size") > GROUP).select("unit"), "unit", "left_semi")
+    by_bucket = (buckets.select(F.col("a").alias("unit"), F.col("b").alias("fp")).distinct()
+                 .join(in_large.select("fp", "comp", "n"), "fp"))
+    large = by_bucket.join(mixed(by_bucket), "unit")
+    tasks = (small.select("unit", "fp", "comp", "blocks")
+             .unionByName(large.select("unit", "fp", "comp", "blocks"))
              .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+             .select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      "fp", "comp"))
-    return (tasks.join(sets.select("fp", "shingles"), "fp").groupBy("bucket", "i", "j")
+    return (tasks.join(sets.select("fp", "shingles"), "fp").groupBy("unit", "i", "j")
             .applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
 
 
@@ -326,7 +343,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = write_scratch(verify_pairs(pairs, sets, percent), "links")
     comps = write_scratch(connected_components(links), "components")
-    more = write_scratch(remaining_links(members.filter("kind = 1"), comps, sets, percent), "links")
+    more = write_scratch(remaining_links(members.filter("kind = 1"), pairs, comps, sets, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
     labels = (sizes.join(comps.toDF("fp", "root"), "fp", "left")

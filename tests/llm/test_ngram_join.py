@@ -68,9 +68,11 @@ def test_random_groups_match_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_blocks_and_deletions(spark, monkeypatch):
+@pytest.mark.parametrize("group", [7, 8192])
+def test_blocks_and_deletions(spark, monkeypatch, group):
     """Small blocks and forced one-deletion segments give the same components."""
     monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "GROUP", group)
     monkeypatch.setattr(J, "CHANCE", 1.0)
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 400)}" for _ in range(60)]
