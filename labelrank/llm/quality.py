@@ -1,15 +1,17 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are fitted: of the target (labelled good documents) and
-of the raw corpus (all documents).  A document's log weight is the sum, over its n-grams, of the
-log ratio of the two models, as far as a ratio is at least a halving and is not chance.  Documents
-are sampled by Gumbel top-k: those with the largest (log weight / temperature + Gumbel noise).
-For filtering, k is the number of documents above the cut that separates held-out labelled rows
-best; a low temperature then leaves the choice to the weights.
-
-N-grams: words (A-Z lower-cased), pairs of words, and triples of word shapes (class of the first
-and last byte, letter case, length, equal to the word before), so that shouting, markup and
-repetition have n-grams of their own.
+of the raw corpus (all documents).  A document's log weight is the mean, over its n-grams, of the
+log ratio of the two models (per hundred n-grams).  Only ratios of a fifth or less count, of
+n-grams that labelled bad documents hold more often than chance explains: most n-grams of natural
+text are rare, and their ratios are noise.  Documents are sampled by Gumbel top-k: those with the
+largest (log weight / temperature + Gumbel noise).  For filtering, k is the number of documents
+above the cut that separates held-out labelled rows best; a low temperature then leaves the choice
+to the weights.
+
+N-grams: words (A-Z lower-cased), word beginnings of 4, 6 and 8 bytes, and triples of word shapes
+(class of the first and last byte, letter case, length, equal to the word before), so that
+shouting, markup and repetition have n-grams of their own.
 """
 
 from __future__ import annotations
@@ -25,11 +27,20 @@ from labelrank.llm.registry import register
 from labelrank.session import ship_package, table
 
 U = np.uint64
-BUCKETS = 1 << 18
+#: Bytes of the word beginnings that are n-grams.
+PREFIXES = (4, 6, 8)
+#: Buckets: 2^20 of words, 2^16 of shapes, 2^18 of the beginnings of each length.
+BUCKETS = (1 << 20) + (1 << 16) + len(PREFIXES) * (1 << 18)
 #: Labelled rows used for fitting and calibration at most (a bounded sample, by hash of the id).
 MAX_LABELLED = 50_000
-#: Pseudo-count of the ratio, least G statistic of a ratio that counts, and sampling temperature.
-SHRINK, LEAST_G, TEMPERATURE = 0.5, 15.0, 0.02
+#: Pseudo-count of the ratio; least G statistic and greatest log ratio that count.
+SHRINK, LEAST_G, MOST_RATIO = 0.5, 15.0, -1.6
+#: Weights are per so many n-grams; texts count as this many at least.
+PER, LEAST_GRAMS = 100, 20
+#: What a share of good rows lost costs against a share of bad rows kept.
+GOOD_COST = 2
+#: Sampling temperature.
+TEMPERATURE = 0.02
 
 _CLASS = np.zeros(256, np.int64)          # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
@@ -58,57 +69,93 @@ def ngram_buckets(part: np.ndarray, offs: np.ndarray):
     repeat = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])])
     shape = ((((kinds[starts] * 16 + kinds[ends - 1]) * 3 + case) * 5
               + np.searchsorted([2, 5, 10, 30], size)) * 2 + repeat).astype(U)
-    same = doc[1:] == doc[:-1]
     same3 = doc[2:] == doc[:-2]
-    grams = [h + U(1), (h[:-1] * U(0x9E3779B97F4A7C15) + h[1:] + U(2))[same],
-             ((shape[:-2] * U(8192) + shape[1:-1]) * U(8192) + shape[2:] + U(3 << 60))[same3]]
-    docs = [doc, doc[1:][same], doc[2:][same3]]
-    return ((K.mix(np.concatenate(grams)) >> U(64 - 18)).astype(np.int64), np.concatenate(docs))
-
-
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of all rows (text, target) and of the target rows: one sum per task, then
-    sums of slices (the tables have BUCKETS entries whatever the input)."""
-    slices = 64
-    width = BUCKETS // slices
+    p, inv = K._powers(len(part))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(K.TABLES[True][part] * p[:len(part)])])
+    grams = [(h + U(1), 20), (((shape[:-2] * U(8192) + shape[1:-1]) * U(8192) + shape[2:] + U(3 << 60))[same3], 16)]
+    docs = [doc, doc[2:][same3]]
+    for n in PREFIXES:
+        long = np.flatnonzero(size > n)
+        at = starts[long]
+        grams.append(((sums[at + n] - sums[at]) * inv[at] + U(n << 20), 18))
+        docs.append(doc[long])
+    base, out = 0, []
+    for g, bits in grams:  # each kind has buckets of its own
+        out.append((K.mix(g) >> U(64 - bits)).astype(np.int64) + base)
+        base += 1 << bits
+    return np.concatenate(out), np.concatenate(docs)
+
+
+SLICES = 64
+TABLES = ("raw", "target", "good_docs", "bad_docs")
+
+
+def _counts(rows: DataFrame) -> np.ndarray:
+    """Per bucket: n-grams of all rows, n-grams of the target rows (class 1), and documents of
+    class 1 and of class 2 that hold it.
+
+    Each task sends the buckets that it met, in slices that are summed apart; the sums have at
+    most BUCKETS entries whatever the input."""
+    width = -(-BUCKETS // SLICES)
 
     def run(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((len(TABLES), BUCKETS), np.int32)
         for batch in batches:
             data, offs = K.text_parts(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            kind = batch.column("class").to_numpy()
             for i, j, part, rel in K.chunks(data, offs):
                 b, d = ngram_buckets(part, rel)
-                total[0] += np.bincount(b, minlength=BUCKETS)
-                if target[i:j].any():
-                    total[1] += np.bincount(b[target[i:j][d]], minlength=BUCKETS)
-        if total[0].any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(slices), pa.int32()),
-                 pa.array([total[:, s * width:(s + 1) * width].tobytes() for s in range(slices)], pa.binary())],
-                ["slice", "blob"])
+                total[0] += np.bincount(b, minlength=BUCKETS).astype(np.int32)
+                labelled = kind[i:j][d] > 0
+                if labelled.any():
+                    b, d = b[labelled], d[labelled]
+                    good = kind[i:j][d] == 1
+                    total[1] += np.bincount(b[good], minlength=BUCKETS).astype(np.int32)
+                    held = np.unique(d * BUCKETS + b)
+                    good = kind[i:j][held // BUCKETS] == 1
+                    total[2] += np.bincount(held[good] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+                    total[3] += np.bincount(held[~good] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        for s in range(SLICES):
+            part = total[:, s * width:(s + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int32()), pa.array([at.astype(np.int32).tobytes() + part.ravel()[at].tobytes()], pa.binary())],
+                    ["slice", "blob"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), np.int64) for c in t.column("blob").chunks for b in c)
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()),
-                         "blob": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((2, BUCKETS), np.int64)
+        s = t.column("slice")[0].as_py()
+        total = np.zeros(len(TABLES) * (min(BUCKETS, (s + 1) * width) - s * width), np.int64)
+        for c in t.column("blob").chunks:
+            for b in c:
+                at, n = np.frombuffer(b.as_py(), np.int32).reshape(2, -1)
+                total[at] += n
+        return pa.table({"slice": pa.array([s], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((len(TABLES), BUCKETS), np.int64)
     for r in (rows.mapInArrow(run, "slice int, blob binary").groupBy("slice")
               .applyInArrow(add, "slice int, blob binary").collect()):
-        out[:, r.slice * width:(r.slice + 1) * width] = np.frombuffer(r.blob, np.int64).reshape(2, width)
-    return out[0], out[1]
+        part = np.frombuffer(r.blob, np.int64).reshape(len(TABLES), -1)
+        out[:, r.slice * width:r.slice * width + part.shape[1]] = part
+    return out
+
 
+def log_ratios(counts: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """Log ratio of target to raw model per bucket, where it counts; else 0.
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratio of target to raw per bucket; 0 where it is above a half or may be chance."""
-    if not target.sum():
-        return np.zeros(len(raw))
+    It counts where the target has a fifth of the raw model's share or less, and where more of the
+    labelled bad documents hold the n-gram than chance explains (G statistic)."""
+    raw, target, good, bad = counts.astype(np.float64)
+    if not target.sum() or not n_bad:
+        return np.zeros(counts.shape[1])
     expected = raw * (target.sum() / max(1, raw.sum()))
+    share = n_bad / (n_good + n_bad)
+    n = good + bad
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(target > 0, target * np.log(target / expected), 0) - (target - expected))
+        g = 2 * (np.where(bad > 0, bad * np.log(bad / (n * share)), 0)
+                 + np.where(good > 0, good * np.log(good / (n * (1 - share))), 0))
         ratio = np.log((target + SHRINK) / (expected + SHRINK))
-    return np.where((g >= LEAST_G) & (ratio <= -np.log(2)), ratio, 0.0)
+    return np.where((g >= LEAST_G) & (bad > n * share) & (ratio <= MOST_RATIO), ratio, 0.0)
 
 
 def score(docs: DataFrame, ratios, columns: list[str], name: str = "log_weight") -> DataFrame:
@@ -122,7 +169,8 @@ def score(docs: DataFrame, ratios, columns: list[str], name: str = "log_weight")
             w = np.zeros(len(offs) - 1)
             for i, j, part, rel in K.chunks(data, offs):
                 b, d = ngram_buckets(part, rel)
-                w[i:j] = np.bincount(d, weights=table_[b], minlength=j - i)
+                n = np.maximum(np.bincount(d, minlength=j - i), LEAST_GRAMS)
+                w[i:j] = PER * np.bincount(d, weights=table_[b], minlength=j - i) / n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(w)], [*columns, name])
 
     return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(
@@ -165,13 +213,14 @@ def gumbel_top_k(scored: DataFrame, k: int, id_col: str, weight_col: str = "log_
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """Cut that maximises the sum of the shares of good rows above and of bad rows below it."""
+    """Cut that maximises GOOD_COST times the share of good rows above it and the share of bad
+    rows below it."""
     if not good.any() or good.all():
         return -np.inf
     values = np.unique(weights)
     cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
     g, b = np.sort(weights[good]), np.sort(weights[~good])
-    gain = (1 - np.searchsorted(g, cuts) / len(g)) + np.searchsorted(b, cuts) / len(b)
+    gain = GOOD_COST * (1 - np.searchsorted(g, cuts) / len(g)) + np.searchsorted(b, cuts) / len(b)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(cuts[best[len(best) // 2]])
 
@@ -202,9 +251,11 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lab = write_scratch(lab, "labelled")
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(F.broadcast(lab), "label_id", "left")  # bounded by MAX_LABELLED
-    raw, target = _counts(marked.select("text", F.coalesce((F.col("good") == 1) & ~F.col("held"), F.lit(False))
-                                        .alias("target")))
-    ratios = spark.sparkContext.broadcast(log_ratios(raw, target))
+    fit = lab.filter(~F.col("held")).groupBy("good").count().collect()
+    n_class = {r["good"]: r["count"] for r in fit}
+    kind = F.when(F.col("held") | F.col("good").isNull(), 0).when(F.col("good") == 1, 1).otherwise(2)
+    counts = _counts(marked.select("text", kind.alias("class")))
+    ratios = spark.sparkContext.broadcast(log_ratios(counts, n_class.get(1, 0), n_class.get(0, 0)))
     names = docs.columns
     full = docs.withColumn("__row_id", F.col(id_col).cast("long"))
     if text_col != "text" or dict(docs.dtypes)[text_col] != "string":

@@ -45,9 +45,12 @@ def test_edge_rows(spark):
 
 
 def test_ratios_drop_chance():
-    raw, target = np.full(Q.BUCKETS, 100), np.full(Q.BUCKETS, 50)
-    raw[0], target[0] = 1000, 0
-    raw[1], target[1] = 100, 40
-    r = Q.log_ratios(raw, target)
-    assert r[0] < -5 and r[1] == 0 and r[2] == 0
+    c = np.zeros((4, Q.BUCKETS), np.int64)
+    c[0], c[1], c[2], c[3] = 100, 50, 20, 5
+    c[:, 0] = 1000, 2, 1, 60     # much rarer in the target, and in bad documents
+    c[:, 1] = 1000, 2, 40, 10    # rarer, but no more frequent in bad documents
+    c[:, 2] = 100, 40, 1, 60     # not rarer
+    r = Q.log_ratios(c, 800, 200)
+    assert r[0] < -5 and not r[1:].any()
+    assert not Q.log_ratios(c * 0, 0, 0).any()
     assert Q.best_cut(np.array([0.0, -1, -9, -8]), np.array([True, True, False, False])) == -4.5

@@ -57,7 +57,8 @@ def test_random_corpus(spark, monkeypatch, hot):
 
 
 def test_repeated_and_null_ids(spark):
-    t = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
+    rng = random.Random(1)
+    t = "".join(rng.choice("abcdef ") for _ in range(300))
     got = run(spark, [(None, t), (7, t), (7, t), (8, "short")])
     assert [g[:3] for g in got] == [(None, 300, 0), (7, 300, 300), (7, 300, 300), (8, 5, 0)]
     assert run(spark, [(7, t), (7, t)]) == [(7, 300, 0, 0, t.encode())] * 2
