@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelrank.functions.hashing import hash_order
+from labelrank.session import scratch_path
 
 
 def rank_by_score(df: DataFrame, k: int | None = None, group: str = "qid", item: str = "pid",
@@ -40,24 +41,26 @@ def global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     """Dense 0-based index in the total order of ``order_cols`` without a
     single-partition window.
 
-    Range-partition on the order, sort inside partitions, number rows inside
-    each partition with ``monotonically_increasing_id``, then add the prefix sum
-    of per-partition counts.  The counts table has one row per partition (a
-    proven bound), so only it is windowed globally and broadcast back.
-    ``order_cols`` must be unique so recomputation after an executor loss is
-    identical.
+    The frame is range-partitioned, sorted inside partitions and written once under the
+    shared scratch folder, one file per partition.  A row's index is its row number inside
+    its file plus the rows of the files before it.  Rows and counts both come from these
+    files, so they cannot disagree however the range boundaries were sampled, and a lost
+    executor only rereads them.  The counts have one row per partition.  ``order_cols``
+    need a unique order for results that repeat from run to run.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-               .withColumn("__part", F.spark_partition_id())
-               .withColumn("__mono", F.monotonically_increasing_id()))
-    counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"),
-                                           F.min("__mono").alias("__base"))
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ordered")
+    df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).write.parquet(path)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("bigint")
+    ordered = spark.read.schema(df.schema).parquet(path)
+    rows = ordered.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return (ordered.join(F.broadcast(starts.select("__part", "__base", "__start")), "__part")
-            .withColumn(name, F.col("__start") + F.col("__mono") - F.col("__base"))
-            .drop("__part", "__mono", "__base", "__start"))
+    starts = (ordered.select(part.alias("__part")).groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+              .select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start")))
+    return (rows.join(F.broadcast(starts), "__part")
+            .withColumn(name, F.col("__start") + F.col("__row"))
+            .drop("__part", "__row", "__start"))
 
 
 def position_within(df: DataFrame, key: str, order_cols: list[str], name: str = "pos") -> DataFrame:
