@@ -29,6 +29,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def _sound(vec: Column) -> Column:
+    """The vector; fails the job where it is null or has a null or NaN component."""
+    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.when(F.coalesce(ok, F.lit(False)), vec).otherwise(
+        F.raise_error(F.lit("a vector is null or has a null or NaN component")))
+
+
 def _block_counts(nq: int, np_: int, q_block_rows: int, p_block_rows: int, min_tasks: int,
                   k: int = 1000, dim: int = 768) -> tuple[int, int]:
     """Block counts from the memory budget, then widened to ``min_tasks`` tasks.
@@ -59,15 +66,20 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
               q_id: str = "qid", p_id: str = "pid", vec: str = "embedding",
               q_vec: str | None = None, p_vec: str | None = None,
               q_block_rows: int | None = None, p_block_rows: int | None = None,
-              block_bytes: int = 256 << 20, tile_rows: int = 256, min_tasks: int | None = None) -> DataFrame:
+              block_bytes: int = 256 << 20, tile_bytes: int = 64 << 20, min_tasks: int | None = None,
+              n_queries: int | None = None, n_passages: int | None = None,
+              dim: int | None = None) -> DataFrame:
     """Exact top-k by inner product for every query.
 
     Returns ``(q_id, p_id, rank, score)``; ranks from 1 ordered by score desc
     then passage id asc; fewer than k rows when the corpus is smaller than k.
+    Null vectors and vectors with a null or NaN component fail the job.
 
     Block sizes default to a memory budget: a passage block holds about
     ``block_bytes`` of float64 vectors, a query block a quarter of it, and a
-    score tile ``tile_rows`` x block rows.  Larger passage blocks mean fewer
+    score tile at most ``tile_bytes``.  Row counts and the vector length are parameters
+    so that inputs that are expensive to compute are not run again to be counted; they
+    default to jobs over the inputs.  Larger passage blocks mean fewer
     candidates to merge (about k per query per passage block); more query
     blocks mean more copies of the passages.
     """
@@ -75,15 +87,16 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
     ship_package(spark)
     q_vec = q_vec or vec
     p_vec = p_vec or vec
-    q = queries.select(F.col(q_id).alias("__q"), F.col(q_vec).alias("__qv"))
-    p = passages.select(F.col(p_id).alias("__p"), F.col(p_vec).alias("__pv"))
+    q = queries.select(F.col(q_id).alias("__q"), _sound(F.col(q_vec)).alias("__qv"))
+    p = passages.select(F.col(p_id).alias("__p"), _sound(F.col(p_vec)).alias("__pv"))
     q_type = q.schema["__q"].dataType.simpleString()
     p_type = p.schema["__p"].dataType.simpleString()
     # two counts and one vector length size the blocks (single-row results)
-    nq, np_ = q.count(), p.count()
+    nq = queries.count() if n_queries is None else n_queries
+    np_ = passages.count() if n_passages is None else n_passages
     if nq == 0 or np_ == 0:
         return spark.createDataFrame([], f"{q_id} {q_type}, {p_id} {p_type}, rank int, score double")
-    dim = max(1, p.select(F.size("__pv")).first()[0])
+    dim = max(1, dim or p.select(F.size("__pv")).first()[0])
     p_block_rows = p_block_rows or max(1024, block_bytes // (8 * dim))
     q_block_rows = q_block_rows or max(256, block_bytes // (4 * 8 * dim))
     qb, pb = _block_counts(nq, np_, q_block_rows, p_block_rows,
@@ -101,14 +114,18 @@ def knn_exact(queries: DataFrame, passages: DataFrame, k: int = 1000, *,
         qm = np.stack(qdf["__qv"].to_numpy()).astype(np.float64)
         pm = np.stack(pdf["__pv"].to_numpy()).astype(np.float64)
         qids = qdf["__q"].to_numpy()
-        pids = pdf["__p"].to_numpy()
+        order = np.argsort(pdf["__p"].to_numpy(), kind="stable")  # equal scores then go by id
+        pids, pm = pdf["__p"].to_numpy()[order], pm[order]
         take = min(kk, pm.shape[0])
+        tile_rows = max(1, tile_bytes // (8 * pm.shape[0]))
         out_q, out_p, out_s = [], [], []
         for start in range(0, qm.shape[0], tile_rows):
             s = qm[start:start + tile_rows] @ pm.T
-            # k-th largest per row; keep every score >= it so ties are settled by the merge
+            # exactly k per row: all above the k-th largest, then the smallest ids that equal it
             thr = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
-            rows, cols = np.nonzero(s >= thr[:, None])
+            above, tied = s > thr[:, None], s == thr[:, None]
+            room = take - above.sum(axis=1)
+            rows, cols = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room[:, None])))
             out_q.append(qids[start + rows])
             out_p.append(pids[cols])
             out_s.append(s[rows, cols])

@@ -158,8 +158,11 @@ def in_batch_scores(queries: DataFrame, passages: DataFrame, temperature: float
 
 def gather_batches(df: DataFrame, world_size: int, batch_size: int, group_size: int,
                    batch: str = "batch_id") -> DataFrame:
-    """All-gather: device batches ``s*W .. s*W+W-1`` form global step s; query and
-    passage indices are offset by the device rank (a re-key, then one shuffle)."""
+    """Gathers the queries, passages or teacher rows of W devices into global steps: batches
+    ``s*W .. s*W+W-1`` form step s, with query and passage indices offset by the device rank.
+
+    Gather both sides before :func:`in_batch_scores`, so that every query of a step meets the
+    passages of all its devices: a full step has (W*B) * (W*B*G) scores."""
     rank = F.pmod(F.col(batch), F.lit(world_size))
     out = df.withColumn("q_idx", rank * batch_size + F.col("q_idx")) if "q_idx" in df.columns else df
     out = out.withColumn("p_idx", rank * batch_size * group_size + F.col("p_idx")) if "p_idx" in df.columns else out

@@ -191,10 +191,10 @@ def q_write_trec_run(spark, sf):
 
 
 @register("read_run_trec", sql("SELECT CAST(qid AS VARCHAR) AS qid, CAST(pid AS VARCHAR) AS docid, CAST(rank AS BIGINT) AS rank "
-                               "FROM fx_run WHERE rank <= 10"))
+                               "FROM fx_run"))
 def q_read_run_trec(spark, sf):
-    path = scratch_path(spark, "trec-run10")
-    io.write_trec_run(fx.fx_run(spark, sf).filter(F.col("rank") <= 10), path)
+    path = scratch_path(spark, "trec-run")
+    io.write_trec_run(fx.fx_run(spark, sf), path)
     return io.read_run_trec(spark, path).select("qid", "docid", "rank")
 
 

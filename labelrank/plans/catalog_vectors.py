@@ -120,7 +120,8 @@ SCORE_CTES = BATCH_CTES + bow_ctes(
 ]
 
 
-def scored_batches(spark, sf):
+def batch_vectors(spark, sf):
+    """(queries, passages, groups): the encoded sides of every batch."""
     bg, order = batched_groups(spark, sf)
     q = fx.fx_candidate_queries(spark, sf).select(F.col("query_id").alias("qid"), F.col("query").alias("text")) \
         .join(order.select("qid"), "qid", "left_semi")
@@ -129,6 +130,11 @@ def scored_batches(spark, sf):
     pv = V.hashed_bow_encode(docs, "docid", "text")
     queries = order.select("qid", "batch_id", "q_idx").join(qv, "qid").select("batch_id", "q_idx", F.col("embedding").alias("q_vec"))
     passages = bg.join(pv, "docid").select("batch_id", "p_idx", F.col("embedding").alias("p_vec"))
+    return queries, passages, bg
+
+
+def scored_batches(spark, sf):
+    queries, passages, bg = batch_vectors(spark, sf)
     return V.in_batch_scores(queries, passages), bg
 
 
@@ -153,12 +159,23 @@ def q_label_matrix(spark, sf):
     return _sc(with_teacher(spark, sf), ["batch_id", "q_idx", "p_idx", "target"])
 
 
+GATHER_CTES = SCORE_CTES + [
+    ("gq", f"SELECT batch_id // 2 AS step, (batch_id % 2) * {B} + q_idx AS q_idx, qid FROM ordb"),
+    ("gp", f"SELECT batch_id // 2 AS step, (batch_id % 2) * {B * G} + p_idx AS p_idx, docid FROM bg"),
+    ("gdots", "SELECT q.step, q.q_idx, p.p_idx, sum(qv.v * pv.v) AS s FROM gq q JOIN gp p ON p.step = q.step "
+              "JOIN bow_vec qv ON qv.side = 'q' AND qv.id = q.qid JOIN bow_vec pv ON pv.side = 'p' AND pv.id = p.docid "
+              "AND pv.b = qv.b GROUP BY q.step, q.q_idx, p.p_idx")]
+
+
 @register("gather_batches", sql(
-    "SELECT CAST(batch_id // 2 AS BIGINT) AS batch_id, (batch_id % 2) * 4 + q_idx AS q_idx, "
-    f"(batch_id % 2) * {4 * G} + p_idx AS p_idx, round(score, 6) AS score FROM scored", extra=SCORE_CTES))
+    "SELECT CAST(q.step AS BIGINT) AS batch_id, q.q_idx, p.p_idx, round(coalesce(d.s, 0.0), 6) AS score "
+    "FROM gq q JOIN gp p ON p.step = q.step LEFT JOIN gdots d ON d.step = q.step AND d.q_idx = q.q_idx AND d.p_idx = p.p_idx",
+    extra=GATHER_CTES))
 def q_gather_batches(spark, sf):
-    """Two devices: consecutive batch pairs become one global step."""
-    return _sc(V.gather_batches(scored_batches(spark, sf)[0], 2, B, G), ["batch_id", "q_idx", "p_idx", "score"])
+    """Two devices: each query meets the passages of both batches of its global step."""
+    queries, passages, _ = batch_vectors(spark, sf)
+    scores = V.in_batch_scores(V.gather_batches(queries, 2, B, G), V.gather_batches(passages, 2, B, G))
+    return _sc(scores, ["batch_id", "q_idx", "p_idx", "score"])
 
 
 PER_Q = ("perq", "SELECT batch_id, q_idx, m + ln(z) AS lse, ts, tsum, pe, z FROM (SELECT batch_id, q_idx, max(m) AS m, "

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelrank.operators.knn import knn_exact
+from labelrank.operators.ranking import global_index
 from labelrank.session import table
 
 # fixed fixture parameters
 CAND_GROUP = 16      # candidate passages per annotation query
 QREL_FANOUT = 3      # judged neighbours per query vector
-RUN_DEPTH = 100      # depth of the evaluation run
+RUN_DEPTH = 1000     # depth of the evaluation run
 
 
 def fx_passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,21 +31,31 @@ def fx_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Long form: every document is a candidate of query ``doc_id div 16`` at a
-    dense 0-based position (window over a group of at most 16 rows)."""
-    d = table(spark, sf, "documents").withColumn("query_id", F.expr(f"doc_id div {CAND_GROUP}"))
+    """Long form: every document is a candidate of query ``doc_id div 16``, and the first
+    document of a block also of the query before (shared candidates), at a dense 0-based
+    position (window over a group of at most 17 rows)."""
+    own = table(spark, sf, "documents").withColumn("query_id", F.expr(f"doc_id div {CAND_GROUP}"))
+    shared = own.filter((F.col("doc_id") % CAND_GROUP == 0) & (F.col("query_id") > 0)) \
+                .withColumn("query_id", F.col("query_id") - 1)
+    d = own.unionByName(shared)
     w = Window.partitionBy("query_id").orderBy("doc_id")
     return d.select("query_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
                     F.col("doc_id").alias("docid"), F.col("source").alias("title"), "text")
 
 
 def fx_candidate_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Query text of every candidate group: benchmark item ``group mod n_items``."""
-    n_items = table(spark, sf, "benchmark").count()  # single-row metadata
-    groups = fx_candidates(spark, sf).select("query_id").distinct()
-    bench = fx_queries(spark, sf).withColumnRenamed("query_id", "item_id")
-    return groups.join(bench, F.pmod(groups.query_id, F.lit(n_items)) == bench.item_id) \
-                 .select("query_id", "query")
+    """Query text of every candidate group.  Groups and benchmark items are numbered in
+    order and paired round-robin until every group has an item and every item is used;
+    a group with several items joins their texts."""
+    groups = global_index(fx_candidates(spark, sf).select("query_id").distinct(), ["query_id"], "g")
+    items = global_index(fx_queries(spark, sf).withColumnRenamed("query_id", "item_id"), ["item_id"], "i")
+    n_groups, n_items = groups.count(), items.count()  # single-row metadata
+    m = spark.range(max(n_groups, n_items)).select(
+        F.col("id").alias("m"), F.pmod("id", F.lit(max(1, n_groups))).alias("g"),
+        F.pmod("id", F.lit(max(1, n_items))).alias("i"))
+    texts = m.join(groups, "g").join(items, "i").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("m", "query"))).alias("s"))
+    return texts.select("query_id", F.array_join(F.transform("s", lambda x: x["query"]), " ").alias("query"))
 
 
 def fx_candidate_lists(spark: SparkSession, sf: str) -> DataFrame:

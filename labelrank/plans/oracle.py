@@ -10,20 +10,25 @@ from __future__ import annotations
 
 import re
 
-CAND_GROUP = 16
-QREL_FANOUT = 3
-RUN_DEPTH = 100
+from labelrank.plans.fixtures import CAND_GROUP, QREL_FANOUT, RUN_DEPTH
+
 
 # name -> SQL, in dependency order
 VIEWS: list[tuple[str, str]] = [
     ("fx_passages", "SELECT doc_id AS docid, source AS title, text FROM documents"),
     ("fx_queries", "SELECT item_id AS query_id, text AS query FROM benchmark"),
-    ("fx_candidates", f"""SELECT doc_id // {CAND_GROUP} AS query_id,
-        row_number() OVER (PARTITION BY doc_id // {CAND_GROUP} ORDER BY doc_id) - 1 AS pos,
-        doc_id AS docid, source AS title, text FROM documents"""),
-    ("fx_candidate_queries", """SELECT g.query_id, b.text AS query
-        FROM (SELECT DISTINCT query_id FROM fx_candidates) g
-        JOIN benchmark b ON b.item_id = g.query_id % (SELECT count(*) FROM benchmark)"""),
+    ("fx_candidates", f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS pos,
+        doc_id AS docid, source AS title, text FROM (
+          SELECT doc_id // {CAND_GROUP} AS query_id, * FROM documents
+          UNION ALL SELECT doc_id // {CAND_GROUP} - 1, * FROM documents
+          WHERE doc_id % {CAND_GROUP} = 0 AND doc_id // {CAND_GROUP} > 0)"""),
+    ("fx_candidate_queries", """SELECT query_id, string_agg(query, ' ' ORDER BY m) AS query FROM (
+        SELECT t.m, g.query_id, b.query FROM range(greatest((SELECT count(DISTINCT query_id) FROM fx_candidates),
+          (SELECT count(*) FROM benchmark))) t(m)
+        JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS g, count(*) OVER () AS n
+          FROM (SELECT DISTINCT query_id FROM fx_candidates)) g ON g.g = t.m % g.n
+        JOIN (SELECT text AS query, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n
+          FROM benchmark) b ON b.i = t.m % b.n) GROUP BY query_id"""),
     ("fx_labels", """SELECT c.query_id, c.pos, c.docid, CAST(coalesce(l.quality, 0) AS INTEGER) AS relevance_score
         FROM fx_candidates c LEFT JOIN labels l ON l.doc_id = c.docid"""),
     ("fx_reply0", """SELECT query_id, list(docid ORDER BY pos) AS passages_ids,
@@ -78,5 +83,3 @@ def union_metrics(source: str, pairs: list[tuple[str, str]]) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM {source}" for n, e in pairs)
 
-
-ORACLE: dict[str, str] = {}

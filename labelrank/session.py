@@ -48,6 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - Spark Connect has no SparkContext
             d = None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="labelrank-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)

@@ -7,7 +7,7 @@ reference.  File order, where it matters, is recovered from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,22 +30,34 @@ ANNOTATION = T.StructType([T.StructField("query_id", T.StringType()),
 
 
 def _fail(msg: str, line) -> F.Column:
-    return F.raise_error(F.concat(F.lit(f'"'), line, F.lit(f'" is not valid format ({msg})')))
+    return F.raise_error(F.concat(F.lit(f"malformed {msg} line: "), F.coalesce(line, F.lit("null"))))
+
+
+def _checked(df: DataFrame, ok: F.Column, what: str) -> DataFrame:
+    """Fails the job for a line that is not ``ok`` (null counts as not)."""
+    good = F.when(F.coalesce(ok, F.lit(False)), True).otherwise(_fail(what, F.col("value")).cast("boolean"))
+    return df.filter(good)
 
 
 def line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """Dense 0-based line numbers in file order (files by path, then position).
 
     Each input split is numbered inside its task with ``monotonically_increasing_id``
-    (rows of one split are contiguous in a task); the split sizes form a small
-    table (one row per split, a proven bound) whose prefix sums are broadcast back.
+    (rows of one split are contiguous in a task).  Prefix sums go in two steps: over the
+    splits of a file, partitioned by file, and over the files, of which there is one row
+    each; both are joined back without a forced broadcast.
     """
     t = (lines.withColumn("__f", F.col("_metadata.file_path")).withColumn("__b", F.col("_metadata.file_block_start"))
          .withColumn("__m", F.monotonically_increasing_id()))
     splits = t.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__base"))
-    w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("__start", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return (t.join(F.broadcast(splits.select("__f", "__b", "__base", "__start")), ["__f", "__b"])
+    in_file = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__in", F.coalesce(F.sum("__n").over(in_file), F.lit(0)))
+    files = splits.groupBy("__f").agg(F.sum("__n").alias("__fn"))
+    before = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("__f", F.coalesce(F.sum("__fn").over(before), F.lit(0)).alias("__fs"))
+    splits = (splits.join(files, "__f")
+              .select("__f", "__b", "__base", (F.col("__fs") + F.col("__in")).alias("__start")))
+    return (t.join(splits, ["__f", "__b"])
             .withColumn(name, F.col("__start") + F.col("__m") - F.col("__base"))
             .drop("__f", "__b", "__m", "__base", "__start"))
 
@@ -59,6 +71,7 @@ def read_corpus_tsv(spark: SparkSession, path, with_offset: bool = True) -> Data
     """``id \\t text`` or ``id \\t title \\t text`` (extra fields ignored); ``offset`` = line order."""
     df = read_lines(spark, path, numbered=with_offset)
     f = F.split(F.col("value"), "\t", -1)
+    df = _checked(df, F.size(f) >= 2, "corpus")
     two = F.size(f) == 2
     out = df.select(F.get(f, 0).alias("id"), F.when(two, F.lit(None)).otherwise(F.get(f, 1)).alias("title"),
                     F.when(two, F.get(f, 1)).otherwise(F.get(f, 2)).alias("text"),
@@ -66,17 +79,27 @@ def read_corpus_tsv(spark: SparkSession, path, with_offset: bool = True) -> Data
     return out
 
 
-def read_corpus_jsonl(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(CORPUS_JSONL).json(path)
+def _read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """One JSON object per line; a line that does not parse fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_corpus_jsonl(spark: SparkSession, path, with_offset: bool = False) -> DataFrame:
+    """JSON lines; with ``with_offset`` also the line order (``offset``)."""
+    if not with_offset:
+        return _read_json(spark, path, CORPUS_JSONL)
+    df = read_lines(spark, path, numbered=True)
+    row = F.from_json("value", CORPUS_JSONL, {"mode": "FAILFAST"})
+    return df.select(row.alias("r"), "line_no").select("r.*", F.col("line_no").alias("offset"))
 
 
 def read_candidates(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(CANDIDATES).json(path)
+    return _read_json(spark, path, CANDIDATES)
 
 
 def read_train_records(spark: SparkSession, path) -> DataFrame:
     """A missing ``title`` reads as null."""
-    return spark.read.schema(TRAIN_RECORDS).json(path)
+    return _read_json(spark, path, TRAIN_RECORDS)
 
 
 def _int(c):
@@ -98,6 +121,7 @@ def read_qrels_trec(spark: SparkSession, path, min_rel: int | None = None) -> Da
     keeps grades >= it."""
     df = read_lines(spark, path)
     f = F.split(py_strip("value"), " ", -1)
+    df = _checked(df, (F.size(f) >= 4) & _int(F.get(f, 3)).isNotNull(), "TREC qrels")
     out = df.select(F.get(f, 0).alias("qid"), F.get(f, 2).alias("docid"), _int(F.get(f, 3)).cast("int").alias("rel"))
     return out if min_rel is None else out.filter(F.col("rel") >= min_rel)
 
@@ -106,6 +130,7 @@ def read_positives(spark: SparkSession, path) -> DataFrame:
     """``qid \\t a,b,c`` -> long (qid, idx = line order, pos, docid)."""
     df = read_lines(spark, path, numbered=True)
     f = F.split(F.col("value"), "\t", -1)
+    df = _checked(df, F.size(f) == 2, "positives")
     return df.select(F.get(f, 0).alias("qid"), F.col("line_no").alias("idx"),
                      F.posexplode(F.split(F.get(f, 1), ",", -1)).alias("pos", "docid")) \
              .withColumn("pos", F.col("pos").cast("bigint"))
@@ -119,6 +144,7 @@ def read_negatives(spark: SparkSession, path, depth: int | None = None) -> DataF
     from labelrank.operators.ranking import position_within
     df = read_lines(spark, path, numbered=True)
     f = F.split(F.col("value"), "\t", -1)
+    df = _checked(df, F.size(f) == 2, "negatives")
     ex = df.select(F.get(f, 0).alias("qid"), "line_no", F.posexplode(F.split(F.get(f, 1), ",", -1)).alias("i", "docid"))
     if depth is not None:
         w = Window.partitionBy("qid").orderBy("line_no", "i")
@@ -169,6 +195,8 @@ def read_run_trec(spark: SparkSession, path) -> DataFrame:
     """``qid Q0 docid rank score tag`` -> (qid, docid, rank, score)."""
     df = read_lines(spark, path)
     f = F.split(py_strip("value"), r"\s+", -1)
+    df = _checked(df, (F.size(f) == 6) & _int(F.get(f, 3)).isNotNull() & F.get(f, 4).try_cast("double").isNotNull(),
+                  "TREC run")
     return df.select(F.get(f, 0).alias("qid"), F.get(f, 2).alias("docid"), _int(F.get(f, 3)).alias("rank"),
                      F.get(f, 4).try_cast("double").alias("score"))
 
@@ -178,6 +206,7 @@ def read_id_map(spark: SparkSession, path, reverse: bool = False) -> DataFrame:
     df = read_lines(spark, path)
     f = F.split(py_strip("value"), "\t", -1)
     a, b = (1, 0) if reverse else (0, 1)
+    df = _checked(df, (F.size(f) == 2) & _int(F.get(f, b)).isNotNull(), "id map")
     return df.select(F.get(f, a).alias("id"), _int(F.get(f, b)).alias("offset"))
 
 
@@ -228,8 +257,9 @@ def write_vectors(df: DataFrame, path: str, id_col: str = "id", vec: str = "embe
     """Parquet ``(id, embedding array<float>)``; returns the row count, checked
     against the input (the reference asserts #vectors = #ids)."""
     out = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<float>").alias("embedding"))
-    out.write.mode("overwrite").parquet(path)
-    n_in, n_out = df.count(), out.sparkSession.read.parquet(path).count()
+    seen = Observation()  # counts the input while it is written, without running it again
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    n_in, n_out = seen.get["n"], out.sparkSession.read.parquet(path).count()
     if n_in != n_out:
         raise AssertionError(f"wrote {n_out} vectors for {n_in} ids")
     return n_out
@@ -246,7 +276,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def cached_dataset(spark: SparkSession, path: str, compute) -> DataFrame:
-    """Reuse a materialised dataset if ``path`` exists, else compute, write, then read."""
-    if not path_exists(spark, path):
+    """Reuse a completely written dataset at ``path`` (it has a ``_SUCCESS`` mark), else
+    compute, write, then read."""
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -4,9 +4,12 @@ partially applied before the shuffle, scans read only the needed columns."""
 import pytest
 
 import __spark_entry__ as E
+from labelrank.plans.registry import QUERIES, load_all
+
+load_all()
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 def plan_of(spark, key):
