@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelrank.functions.hashing import hash60, hash_order
-from labelrank.session import ship_package
 
 
 def _n_draws(n: int, k: F.Column, margin: int) -> F.Column:
@@ -42,17 +41,7 @@ def _draws(qk: DataFrame, corpus: DataFrame, n: int, qid: str, k: str, seed: int
     first = got.groupBy(qid, k, "docid").agg(F.min("__j").alias("__j"))
     w = Window.partitionBy(qid).orderBy("__j")
     return (first.withColumn("j", F.row_number().over(w) - 1).filter(F.col("j") < F.col(k))
-            .select(qid, F.col("j").cast("bigint").alias("j"), "docid"))
-
-
-def _raise_exhausted(q):
-    raise RuntimeError(f"random_negatives: draw sequence exhausted for query {q}")
-
-
-def _exhausted(col: F.Column) -> F.Column:
-    # nondeterministic: Catalyst neither folds it nor pushes predicates on its result
-    # below the anti join, so it runs only on rows that really are short
-    return F.udf(_raise_exhausted, "string").asNondeterministic()(col)
+            .select(qid, k, F.col("j").cast("bigint").alias("j"), "docid"))
 
 
 def random_negatives(qk: DataFrame, corpus: DataFrame, qid: str = "qid", k: str = "k", seed: int = 42,
@@ -65,19 +54,16 @@ def random_negatives(qk: DataFrame, corpus: DataFrame, qid: str = "qid", k: str
     negligible; a query that still comes out short fails the job instead of
     returning fewer ids.  One lazy plan, no driver round trip.
     """
-    ship_package(qk.sparkSession)
     n = corpus.count() if n_corpus is None else n_corpus
-    docid_type = corpus.schema["docid"].dataType.simpleString()
     # k > N cannot be met (random.sample raises): fail inside the job
     qk = qk.filter(F.col(k) > 0).withColumn(k, F.when(F.col(k) > n, F.raise_error(
         F.lit(f"sample larger than population ({n})"))).otherwise(F.col(k)))
     got = _draws(qk, corpus, n, qid, k, seed, epoch, tag, margin)
-    full = got.groupBy(qid).agg(F.count(F.lit(1)).alias("__got")).join(qk.select(qid, k), qid) \
-              .filter(F.col("__got") >= F.col(k)).select(qid)
-    short = qk.join(full, qid, "left_anti")
-    fail = short.select(qid, F.lit(0).cast("bigint").alias("j"), _exhausted(F.col(qid).cast("string"))
-                        .cast(docid_type).alias("docid"))
-    return got.unionByName(fail)
+    # at most k rows per query here, and at least one: every draw is a corpus row
+    short = F.count(F.lit(1)).over(Window.partitionBy(qid)) < F.col(k)
+    return got.select(qid, "j", F.when(short, F.raise_error(F.concat(
+        F.lit("random_negatives: draws exhausted for query "), F.col(qid).cast("string"))))
+        .otherwise(F.col("docid")).alias("docid"))
 
 
 def sample_without_replacement(pool: DataFrame, need: DataFrame, bound: int, qid: str = "qid",

@@ -39,7 +39,7 @@ def hash_token_ids(text, max_length: int | None = 512, vocab: int = VOCAB) -> Co
 
 
 def tokenize_corpus(df: DataFrame, id_col: str, text: str = "text", title: str | None = None,
-                    use_title: bool = False, sep: str = " [SEP] ", max_length: int = 512,
+                    use_title: bool = False, sep: str = "[SEP]", max_length: int = 512,
                     tokenizer_factory: Callable | None = None) -> DataFrame:
     """``(id, input_ids)``; the text columns are dropped.  ``tokenizer_factory``
     plugs a real tokenizer (run with ``mapInPandas``), else the hashed stand-in."""

@@ -33,7 +33,7 @@ def q_knn_exact(spark, sf):
     "fx_run1000", "SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank, "
                   "score FROM fx_scores QUALIFY rank <= 1000")]))
 def q_retrieve(spark, sf):
-    """The search job at the reference depth (1000)."""
+    """The search step on given vectors, 1000 deep (see ``retrieve_files`` for the whole job)."""
     v = fx.fx_vectors(spark, sf)
     return _run_out(knn_exact(v.withColumnRenamed("id", "qid"), v.withColumnRenamed("id", "pid"), 1000))
 

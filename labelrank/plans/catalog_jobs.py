@@ -14,15 +14,16 @@ from labelrank.models import OverlapRanker, OverlapSelector, PromptLengthAnswere
 from labelrank.operators import lookup as LK
 from labelrank.operators.knn import knn_exact
 from labelrank.operators.ranking import global_index
-from labelrank.operators.vectors import tokenize_corpus
+from labelrank.operators.metrics import TREC_CLI_CUTOFFS
+from labelrank.operators.vectors import hashed_bow_encode, tokenize_corpus
 from labelrank.plans import fixtures as fx
 from labelrank.plans import jobs as J
-from labelrank.plans.catalog_eval import _msmarco_sql
+from labelrank.plans.catalog_eval import _msmarco_sql, _trec_sql
 from labelrank.plans.catalog_sampling import (G, ORDER_CTE, TR_CTES, d_fill, tr_corpus, tr_hard, tr_positives,
                                               tr_qidx)
 from labelrank.plans.catalog_text import (FP_CTE, FX_ANSWERS, PARSE_SEL_SQL, d_fill as d_fmt, d_lit, d_trunc,
                                           fx_answers, parsed_selection)
-from labelrank.plans.catalog_vectors import d_tok_ids
+from labelrank.plans.catalog_vectors import bow_ctes, d_tok_ids
 from labelrank.plans.oracle import sql
 from labelrank.plans.registry import register
 from labelrank.session import scratch_path
@@ -235,3 +236,54 @@ def q_evaluate(spark, sf):
     io.write_lines(q, F.concat_ws("\t", F.col("qid").cast("string"), F.col("pid").cast("string")), qrels_path, ["qid", "pid"])
     m = J.evaluate(spark, run_path, qrels_path, scratch_path(spark, "eval-metrics"))
     return m.select("metric", F.round("value", 6).alias("value"))
+
+
+FILES_CTES = [("sel", "SELECT query_id, pos, docid, relevance_score FROM fx_labels") if n == "sel" else (n, q)
+              for n, q in BT_CTES]
+
+
+@register("build_training_files", sql(
+    "SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(q_idx AS BIGINT) AS q_idx, CAST(p_idx AS BIGINT) AS p_idx, "
+    "CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, round(score, 6) AS score, "
+    "CAST(max(len(t)) OVER (PARTITION BY batch_id) AS BIGINT) AS n_tokens, CAST(len(t) AS BIGINT) AS n_real FROM gb",
+    extra=FILES_CTES))
+def q_build_training_files(spark, sf):
+    """Labels -> exported files -> read back -> groups, teacher scores, batches and padded ids."""
+    lab = fx.fx_labels(spark, sf).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "docid", "relevance_score"))).alias("s"))
+    annotations = lab.select("query_id", F.transform("s", lambda x: x["docid"]).alias("passages_ids"),
+                             F.transform("s", lambda x: x["relevance_score"]).alias("relevance_score"))
+    paths = J.write_training_sets(J.export_training_sets(annotations), scratch_path(spark, "training"))
+    corpus = tr_corpus(spark, sf).withColumn("docid", F.col("docid").cast("string"))
+    docs = fx.fx_passages(spark, sf).withColumn("docid", F.col("docid").cast("string"))
+    out = J.build_training_from_files(spark, paths, corpus, docs, G, 4, n_corpus=docs.count())
+    return out.select("batch_id", "q_idx", "p_idx", "qid", "docid", F.round("score", 6).alias("score"),
+                      F.size("input_ids").cast("bigint").alias("n_tokens"),
+                      F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"))
+
+
+@register("retrieve_files", sql(
+    "SELECT q.id AS qid, p.id AS pid, round(sum(q.v * p.v), 6) AS score FROM f32 q JOIN f32 p ON q.side = 'q' AND p.side = 'p' "
+    "AND q.b = p.b GROUP BY q.id, p.id HAVING sum(q.v * p.v) > 0.1",
+    extra=bow_ctes("SELECT 'q' AS side, query_id AS id, query AS text FROM fx_queries UNION ALL "
+                   "SELECT 'p', docid, text FROM fx_passages")
+    + [("f32", "SELECT side, id, b, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM bow_vec")]))
+def q_retrieve_files(spark, sf):
+    """Encode every document and benchmark text, search 1000 deep, write and read the ranking;
+    reported are the pairs that score above 0.1."""
+    q = fx.fx_queries(spark, sf).select(F.col("query_id").alias("qid"), F.col("query").alias("text"))
+    p = fx.fx_passages(spark, sf).select(F.col("docid").alias("pid"), "text")
+    run = J.retrieve(q, p, hashed_bow_encode, scratch_path(spark, "retrieve"), 1000)
+    return run.filter(F.col("score") > 0.1).select("qid", "pid", F.round("score", 6).alias("score"))
+
+
+@register("evaluate_trec", _trec_sql(TREC_CLI_CUTOFFS))
+def q_evaluate_trec(spark, sf):
+    """TREC run file + graded qrels file -> TREC metrics at the CLI cut-offs, written and returned."""
+    run_path, qrels_path = scratch_path(spark, "trec-run"), scratch_path(spark, "trec-qrels")
+    io.write_trec_run(fx.fx_run(spark, sf), run_path)
+    q = fx.fx_qrels(spark, sf)
+    io.write_lines(q, F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("pid").cast("string"),
+                                  F.col("rel").cast("string")), qrels_path, ["qid", "pid"])
+    m = J.evaluate_trec(spark, run_path, qrels_path, scratch_path(spark, "trec-metrics"))
+    return m.select("metric", F.round("value", 6).alias("value"))

@@ -19,7 +19,8 @@ from labelrank.functions import text as T
 from labelrank.models import generate_in_pandas
 from labelrank.operators import sampling as S
 from labelrank.operators.lookup import attach_passages, attach_teacher_scores
-from labelrank.operators.metrics import eval_msmarco
+from labelrank.operators.knn import knn_exact
+from labelrank.operators.metrics import TREC_CLI_CUTOFFS, eval_msmarco, eval_trec
 from labelrank.operators.ranking import assign_batches, train_order
 from labelrank.operators.vectors import pad_batch, tokenize_corpus, truncate_tokens
 from labelrank.session import ship_package
@@ -74,7 +75,7 @@ def annotate_answer(candidates: DataFrame, factory: Callable, materialize: str |
 
 
 def annotate_utility(candidates: DataFrame, relevance: DataFrame, answers: DataFrame, factory: Callable,
-                     materialize: str | None = None) -> DataFrame:
+                     materialize: str | None = None, zero: str = "ignore", strip: bool = False) -> DataFrame:
     """Relevant passages (ordered) + stripped answer -> utility prompt -> generate -> 0/1 ``utility_score``."""
     f = formatted(candidates)
     lookup = f.select(F.explode(F.arrays_zip("passages_ids", "passages")).alias("z")).select(
@@ -86,7 +87,7 @@ def annotate_utility(candidates: DataFrame, relevance: DataFrame, answers: DataF
                           P.render_chat(P.utility_messages(F.col("query"), F.col("passages"), F.col("answer"))).alias("prompt"))
     gen = batch_generate(prompts.withColumnRenamed("passages_trunc", "passages"), factory, "utility_output",
                          ["query_id", "passages_ids"], ["query", "passages"], materialize)
-    return gen.withColumn("utility_score", R.parse_selection("utility_output", "passages_ids"))
+    return gen.withColumn("utility_score", R.parse_selection("utility_output", "passages_ids", zero, strip))
 
 
 def rank_utility(candidates: DataFrame, answers: DataFrame, factory: Callable,
@@ -115,10 +116,10 @@ def export_training_sets(annotations: DataFrame, score_col: str = "relevance_sco
     def lines(flag):
         g = z.filter(F.col("s") == flag).groupBy("query_id").agg(
             F.array_sort(F.collect_list(F.struct("pos", "docid"))).alias("l"))
-        return g.select(F.col("query_id").cast("string").alias("qid"),
+        return g.select("query_id", F.col("query_id").cast("string").alias("qid"),
                         F.concat(F.col("query_id").cast("string"), F.lit("\t"),
                                  F.array_join(F.transform("l", lambda x: x["docid"]), ",")).alias("line"))
-    teacher = z.select(F.col("query_id").cast("string").alias("qid"), F.concat_ws(
+    teacher = z.select("query_id", F.col("query_id").cast("string").alias("qid"), F.concat_ws(
         " ", F.col("query_id").cast("string"), "docid", F.col("s").cast("double").cast("string")).alias("line"))
     return {"positives": lines(1), "negatives": lines(0), "teacher": teacher}
 
@@ -142,6 +143,61 @@ def build_training(positives: DataFrame, negatives: DataFrame, corpus: DataFrame
     return pad_batch(g)
 
 
+def write_training_sets(sets: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Writes the line tables of :func:`export_training_sets`, queries in order; the paths."""
+    paths = {}
+    for name, df in sets.items():
+        paths[name] = f"{root.rstrip('/')}/{name}"
+        io.write_lines(df, F.col("line"), paths[name], ["query_id", "line"])
+    return paths
+
+
+def build_training_from_files(spark, paths: dict[str, str], corpus: DataFrame, docs: DataFrame,
+                              group_size: int = 8, batch_size: int = 4, seed: int = 42, epoch: int = 0,
+                              passage_max_len: int = 128, depth: int = 200,
+                              n_corpus: int | None = None) -> DataFrame:
+    """:func:`build_training` on the files of :func:`write_training_sets`; ids are strings.
+
+    ``corpus`` (docid, offset) and ``docs`` (docid, text) have string ids.  Query order is the
+    line order of the positives file; ``depth`` negatives per query are read."""
+    positives = io.read_positives(spark, paths["positives"])
+    negatives = io.read_negatives(spark, paths["negatives"], depth)
+    teacher = io.read_teacher_scores(spark, paths["teacher"])
+    if teacher is not None:
+        teacher = teacher.withColumnRenamed("did", "docid")
+    return build_training(positives.select("qid", "pos", "docid"), negatives, corpus, docs, teacher,
+                          positives.select("qid", "idx").distinct(), group_size, batch_size, None, seed, epoch,
+                          passage_max_len, n_corpus)
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, encode: Callable, root: str, k: int = 1000) -> DataFrame:
+    """Encode queries (qid, text) and corpus (pid, text), search, write the ranking file, read it.
+
+    ``encode(df, id_col)`` returns (id_col, embedding).  Vectors are written before the search,
+    so an encoder runs once; their counts size the search."""
+    spark = queries.sparkSession
+    root = root.rstrip("/")
+    sides = {}
+    for name, df, key in (("queries", queries, "qid"), ("corpus", corpus, "pid")):
+        n = io.write_vectors(encode(df, key), f"{root}/{name}", key)
+        sides[name] = (io.read_vectors(spark, f"{root}/{name}").withColumnRenamed("id", key), n)
+    (q, nq), (p, np_) = sides["queries"], sides["corpus"]
+    run = knn_exact(q, p, k, n_queries=nq, n_passages=np_)
+    io.write_ranking(run, f"{root}/ranking")
+    return io.read_run(spark, f"{root}/ranking", k)
+
+
+def evaluate_trec(spark, run_path: str, qrels_path: str, metrics_path: str | None = None,
+                  k_values=TREC_CLI_CUTOFFS) -> DataFrame:
+    """TREC run file + graded qrels file -> NDCG, MAP, Recall and MRR (optionally written)."""
+    run = io.read_run_trec(spark, run_path).select("qid", F.col("docid").alias("pid"), "score")
+    qrels = io.read_qrels_trec(spark, qrels_path).withColumnRenamed("docid", "pid")
+    m = eval_trec(run, qrels, k_values)
+    if metrics_path:
+        io.write_metrics(m, metrics_path)
+    return m
+
+
 def evaluate(spark, run_path: str, qrels_path: str, metrics_path: str | None = None) -> DataFrame:
     """Ranking file + qrels file -> MS MARCO metrics (optionally written as text)."""
     m = eval_msmarco(io.read_run(spark, run_path), io.read_qrels(spark, qrels_path))
