@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelrank.functions.hashing import hash60, hash60_mod
+from labelrank.functions.text import title_sep_join
 from labelrank.models import CLS_ID, N_SPECIAL, PAD_ID, SEP_ID, instance
 from labelrank.operators.knn import dot
 from labelrank.session import ship_package
@@ -59,6 +60,31 @@ def tokenize_corpus(df: DataFrame, id_col: str, text: str = "text", title: str |
     return src.mapInPandas(run, f"{id_col} {id_type}, input_ids array<int>")
 
 
+def tokenize_records(records: DataFrame, query_max: int = 32, passage_max: int = 128, sep: str = "[SEP]",
+                     tokenizer_factory: Callable | None = None) -> DataFrame:
+    """Training records -> one row per text: (qid, side, pos, docid, input_ids).
+
+    ``records``: (query_id, query, positive_passages, negative_passages) with passages
+    of (docid, title, text).  Sides are ``query``, ``positive`` and ``negative``; a
+    passage's title and text are joined by the bare separator."""
+    def passages(name, side):
+        p = records.select(F.col("query_id").alias("qid"), F.posexplode(name).alias("pos", "p"))
+        return p.select("qid", F.lit(side).alias("side"), F.col("pos").cast("bigint").alias("pos"),
+                        F.col("p.docid").alias("docid"), title_sep_join("p.title", "p.text", sep).alias("text"))
+
+    both = passages("positive_passages", "positive").unionByName(passages("negative_passages", "negative"))
+    docid = both.schema["docid"].dataType
+    query = records.select(F.col("query_id").alias("qid"), F.lit("query").alias("side"), F.lit(0).cast("bigint").alias("pos"),
+                           F.lit(None).cast(docid).alias("docid"), F.col("query").alias("text"))
+
+    def ids(df, limit):
+        key = F.struct("qid", "side", "pos", "docid").alias("key")
+        t = tokenize_corpus(df.select(key, "text"), "key", "text", max_length=limit, tokenizer_factory=tokenizer_factory)
+        return t.select("key.*", "input_ids")
+
+    return ids(query, query_max).unionByName(ids(both, passage_max))
+
+
 def truncate_tokens(ids, max_length: int) -> Column:
     """``[CLS] + ids[:max_length-2] + [SEP]`` (special tokens count toward the limit)."""
     return F.concat(F.array(F.lit(CLS_ID)), F.slice(_c(ids), 1, max_length - 2), F.array(F.lit(SEP_ID)))
@@ -115,12 +141,18 @@ def pool_cls(tokens: DataFrame, seq: str, pos: str, vec: str) -> DataFrame:
     return tokens.groupBy(seq).agg(F.min_by(F.col(vec), F.col(pos)).alias(vec))
 
 
-def pool_mean(tokens: DataFrame, seq: str, vec: str, mask: str | None = None) -> DataFrame:
-    """Masked mean of token vectors per sequence (long form ``seq, dim, value``):
-    posexplode the vectors, average per (sequence, dimension)."""
+def pool_mean(tokens: DataFrame, seq: str, vec: str, mask: str | None = None,
+              out: str = "embedding") -> DataFrame:
+    """Masked mean of token vectors: one row ``(seq, out array<double>)`` per sequence.
+
+    The vectors are exploded and averaged per (sequence, dimension), so a long sequence is
+    averaged by partial aggregation; only the dimensions of one vector are collected.
+    A sequence whose tokens are all masked has no row."""
     t = tokens if mask is None else tokens.filter(F.col(mask) == 1)
-    ex = t.select(seq, F.posexplode(vec).alias("dim", "__x"))
-    return ex.groupBy(seq, "dim").agg(F.avg(F.col("__x").cast("double")).alias("value"))
+    ex = t.select(seq, F.posexplode(vec).alias("__dim", "__x"))
+    mean = ex.groupBy(seq, "__dim").agg(F.avg(F.col("__x").cast("double")).alias("__v"))
+    return (mean.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct("__dim", "__v"))).alias("__s"))
+            .select(seq, F.transform("__s", lambda s: s["__v"]).alias(out)))
 
 
 def formula_weights(d_in: int, d_out: int) -> np.ndarray:

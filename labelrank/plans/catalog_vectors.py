@@ -46,21 +46,23 @@ def q_truncate_tokens(spark, sf):
 @register("tokenize_records", sql(
     f"SELECT q.query_id AS qid, 'query' AS side, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS docid, "
     f"array_to_string({d_tok_ids('q.query', 32)}, ' ') AS input_ids FROM fx_candidate_queries q "
-    "UNION ALL SELECT l.query_id, CASE WHEN l.relevance_score = 1 THEN 'positive' ELSE 'negative' END, l.pos, l.docid, "
+    "UNION ALL SELECT l.query_id, CASE WHEN l.relevance_score = 1 THEN 'positive' ELSE 'negative' END, "
+    "CAST(row_number() OVER (PARTITION BY l.query_id, l.relevance_score ORDER BY l.pos) - 1 AS BIGINT), l.docid, "
     f"array_to_string({d_tok_ids(chr(99) + '.title || ' + repr('[SEP]') + ' || c.text', 128)}, ' ') "
     "FROM fx_labels l JOIN fx_candidates c ON c.query_id = l.query_id AND c.pos = l.pos"))
 def q_tokenize_records(spark, sf):
     """Query ids (<= 32) and ``title[SEP]text`` ids (<= 128) of every record passage."""
-    q = fx.fx_candidate_queries(spark, sf)
-    qt = q.select(F.col("query_id").alias("qid"), F.lit("query").alias("side"), F.lit(0).cast("bigint").alias("pos"),
-                  F.lit(None).cast("bigint").alias("docid"), ids_str(V.hash_token_ids(F.col("query"), 32)).alias("input_ids"))
     c = fx.fx_candidates(spark, sf).join(fx.fx_labels(spark, sf).select("query_id", "pos", "relevance_score"),
                                          ["query_id", "pos"])
-    from labelrank.functions.text import title_sep_join
-    pt = c.select(F.col("query_id").alias("qid"),
-                  F.when(F.col("relevance_score") == 1, "positive").otherwise("negative").alias("side"), "pos", "docid",
-                  ids_str(V.hash_token_ids(title_sep_join("title", "text", "[SEP]"), 128)).alias("input_ids"))
-    return qt.unionByName(pt)
+
+    def side(flag):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("relevance_score") == flag, F.struct("pos", "docid", "title", "text")))),
+                           lambda x: F.struct(x["docid"].alias("docid"), x["title"].alias("title"), x["text"].alias("text")))
+
+    records = (c.groupBy("query_id").agg(side(1).alias("positive_passages"), side(0).alias("negative_passages"))
+               .join(fx.fx_candidate_queries(spark, sf), "query_id"))
+    out = V.tokenize_records(records)
+    return out.select("qid", "side", "pos", "docid", ids_str(F.col("input_ids")).alias("input_ids"))
 
 
 # ---- batches of record groups -----------------------------------------------------
@@ -238,8 +240,7 @@ def q_pool_cls(spark, sf):
     "SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i"))
 def q_pool_mean(spark, sf):
     e = fx.table(spark, sf, "embeddings")
-    p = V.pool_mean(e, "label", "embedding")
-    return p.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+    return _long(V.pool_mean(e, "label", "embedding"), "label", "embedding")
 
 
 @register("linear_project", sql(D_LONG.format(key="vec_id", src=f"SELECT vec_id, {D_PROJ} AS v FROM embeddings")))
