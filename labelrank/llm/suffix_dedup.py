@@ -383,7 +383,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .withColumnRenamed("id", id_col))
 
 
-@register("op9_suffix_dedup")
+ORACLE = """
+WITH e AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, length(h) // 2 AS n, unnest(range(0, greatest(length(h) // 2 - 99, 0), 500)) AS b, h FROM e),
+k AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 1200) AS piece FROM c),
+q AS (SELECT doc_id, b, n, piece, unnest(range(0, least(500, n - 99 - b))) AS j FROM k),
+o AS (SELECT doc_id, b + j AS p, row_number() OVER (PARTITION BY md5(substr(piece, 2 * j + 1, 200)) ORDER BY doc_id, b + j) AS r FROM q),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM o WHERE r > 1),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, g),
+t AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM s),
+x AS (SELECT t.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS tail,
+  string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM t JOIN e USING (doc_id) GROUP BY t.doc_id)
+SELECT e.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM e LEFT JOIN x USING (doc_id)"""
+
+
+@register("op9_suffix_dedup", ORACLE)
 def op9_suffix_dedup(spark, sf_dir):
     """Repeated strings of 100 bytes removed from whole ``documents``."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
