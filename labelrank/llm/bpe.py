@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from labelrank.llm.registry import register
 from labelrank.session import ship_package, table
 
-#: Texts of about so many bytes share a dictionary.
-BLOCK_BYTES = 32 << 20
+#: Texts of about so many characters share a dictionary; bounds a task's memory.
+BLOCK_CHARS = 8 << 20
 
 
 @dataclass
@@ -55,7 +55,7 @@ class Vocabulary:
         """Id of the token that each pair joins to; -1 where no merge exists."""
         if not len(self.pair_keys) or not len(left):
             return np.full(len(left), -1, np.int64)
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_rank[at], -1)
 
@@ -81,11 +81,11 @@ def replay_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np
     lens = np.fromiter(map(len, words), np.int64, n_words)
     offs = np.concatenate([[0], np.cumsum(lens)])
     size = int(offs[-1])
-    sym = vocab.byte_rank[np.frombuffer(b"".join(words), np.uint8)]
+    sym = vocab.byte_rank.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
     ends = offs[1:][lens > 0] - 1
-    nxt = np.arange(1, size + 1)
+    nxt = np.arange(1, size + 1, dtype=np.int32)
     nxt[ends] = -1
-    prv = np.arange(-1, size - 1)
+    prv = np.arange(-1, size - 1, dtype=np.int32)
     prv[offs[:-1][lens > 0]] = -1
     alive = np.ones(size, dtype=bool)
     # A word that is itself a token is that token at once.
@@ -93,7 +93,7 @@ def replay_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np
     known = np.flatnonzero(whole >= 0)
     open_pos = np.ones(size, dtype=bool)
     if len(known):
-        mark = np.zeros(size + 1, np.int64)
+        mark = np.zeros(size + 1, np.int32)
         np.add.at(mark, offs[:-1][known], 1)
         np.add.at(mark, offs[1:][known], -1)
         open_pos = np.cumsum(mark[:-1]) == 0
@@ -101,7 +101,7 @@ def replay_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np
         alive[offs[:-1][known]] = True
         sym[offs[:-1][known]] = whole[known]
 
-    rank = np.full(size, -1, np.int64)
+    rank = np.full(size, -1, np.int32)
     first = np.flatnonzero(open_pos & (nxt >= 0))
     rank[first] = vocab.rank_of(sym[first], sym[nxt[first]])
     index: dict[int, list[np.ndarray]] = {}
@@ -182,7 +182,7 @@ class _Dictionary(dict):
 def encode_block(texts: list[str], vocab: Vocabulary, find) -> list[np.ndarray]:
     """Ids (unsigned 32-bit) of every text of a block."""
     numbers = _Dictionary()
-    docs = [np.fromiter(map(numbers.__getitem__, find(t)), np.int64) for t in texts]
+    docs = [np.fromiter(map(numbers.__getitem__, find(t)), np.int32) for t in texts]
     if not numbers:
         return [np.zeros(0, "<u4") for _ in texts]
     ids, offs = replay_merges([w.encode() for w in numbers], vocab)
@@ -214,7 +214,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             texts, i = batch.column("text"), 0
             while i < len(texts):
                 block, size = [], 0
-                while i < len(texts) and (not block or size < BLOCK_BYTES):
+                while i < len(texts) and (not block or size < BLOCK_CHARS):
                     block.append(texts[i].as_py() or "")
                     size += len(block[-1])
                     i += 1
