@@ -158,14 +158,15 @@ def log_ratios(counts: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
     return np.where((g >= LEAST_G) & (bad > n * share) & (ratio <= MOST_RATIO), ratio, 0.0)
 
 
-def score(docs: DataFrame, ratios, columns: list[str], name: str = "log_weight") -> DataFrame:
+def score(docs: DataFrame, ratios, columns: list[str], text_col: str = "text",
+          name: str = "log_weight") -> DataFrame:
     """(columns, log weight) of every row; rows without n-grams have weight 0."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         table_ = ratios.value
         for batch in batches:
-            data, offs = K.text_parts(batch.column("text"))
+            data, offs = K.text_parts(batch.column(text_col))
             w = np.zeros(len(offs) - 1)
             for i, j, part, rel in K.chunks(data, offs):
                 b, d = ngram_buckets(part, rel)
@@ -173,7 +174,7 @@ def score(docs: DataFrame, ratios, columns: list[str], name: str = "log_weight")
                 w[i:j] = PER * np.bincount(d, weights=table_[b], minlength=j - i) / n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(w)], [*columns, name])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(
+    return docs.select(*columns, *([] if text_col in columns else [text_col])).mapInArrow(
         run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"{name} double"]))
 
 
@@ -228,7 +229,8 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    quality_col: str = "quality", toxic_col: str = "toxic", k: int | None = None,
                    temperature: float = TEMPERATURE, report: dict | None = None) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with all their columns and ``log_weight``.
+    """The rows of ``docs`` that are sampled, with all their columns and ``log_weight``
+    (which replaces a column of that name).
 
     Labelled documents with quality 1 that are not toxic are the target.  Up to MAX_LABELLED
     labelled documents are used (by hash of the id): four fifths to fit the target model, one
@@ -256,16 +258,18 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = F.when(F.col("held") | F.col("good").isNull(), 0).when(F.col("good") == 1, 1).otherwise(2)
     counts = _counts(marked.select("text", kind.alias("class")))
     ratios = spark.sparkContext.broadcast(log_ratios(counts, n_class.get(1, 0), n_class.get(0, 0)))
-    names = docs.columns
+    names = [c for c in docs.columns if c != "log_weight"]  # a column of that name is replaced
     full = docs.withColumn("__row_id", F.col(id_col).cast("long"))
-    if text_col != "text" or dict(docs.dtypes)[text_col] != "string":
-        full = full.withColumn("text", F.col(text_col).cast("string"))
-    weighed = write_scratch(score(full, ratios, names + ["__row_id"], "log_weight"), "weighed")
+    seen = text_col
+    if dict(docs.dtypes)[text_col] != "string":
+        full, seen = full.withColumn("__text", F.col(text_col).cast("string")), "__text"
+    weighed = score(full, ratios, names + ["__row_id"], seen)
     if k is None:
-        held = np.array(
-            weighed.select(F.col("__row_id").alias("label_id"), "log_weight")
-            .join(F.broadcast(lab.filter("held")), "label_id").select("log_weight", "good").collect(),
-            dtype=np.float64).reshape(-1, 2)
+        # one weight per held-out label, about a fifth of MAX_LABELLED
+        known = rows.join(F.broadcast(lab.filter("held")), "label_id").select("label_id", "good", "text")
+        held = np.array(score(known, ratios, ["label_id", "good"]).groupBy("label_id", "good")
+                        .agg(F.min("log_weight").alias("log_weight")).select("log_weight", "good").collect(),
+                        dtype=np.float64).reshape(-1, 2)
         cut = best_cut(held[:, 0], held[:, 1] == 1)
         if report is not None:
             report.update(cut=cut, rows=len(held), good_kept=float((held[held[:, 1] == 1, 0] > cut).mean()),

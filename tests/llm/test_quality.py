@@ -39,6 +39,9 @@ def test_edge_rows(spark):
                                    "doc_id long, quality int, toxic int")
     out = Q.quality_sample(docs, labels)
     assert out.columns == ["doc_id", "text", "slice", "good", "log_weight"] and out.count() == 5
+    clash = docs.withColumnRenamed("text", "body").withColumn("text", Q.F.lit(1)).withColumn("log_weight", Q.F.lit("x"))
+    got = Q.quality_sample(clash, labels, text_col="body")
+    assert got.count() == 5 and dict(got.dtypes)["log_weight"] == "double"
     assert Q.quality_sample(docs, labels.limit(0)).count() == 5
     assert Q.quality_sample(docs.limit(0), labels).count() == 0
     assert Q.quality_sample(docs, labels, k=2).count() == 2
