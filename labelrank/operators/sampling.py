@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelrank.functions.hashing import hash60, hash_order
+from labelrank.session import write_once
 
 
 def _n_draws(n: int, k: F.Column, margin: int) -> F.Column:
@@ -97,9 +98,13 @@ def fill(pool: DataFrame, need: DataFrame, corpus: DataFrame, bound: int, qid: s
 
     ``pool``: (qid, part, pos, docid) — pool order is (part, pos).
     ``need``: (qid, k) with k <= ``bound``; queries with k = 0 yield nothing.
+
+    The pool is used three times (sizes, samples, tails), so it is written once under the
+    shared scratch folder instead of being planned three times.
     """
+    pool = write_once(pool, "pool")
     sizes = pool.groupBy(qid).agg(F.count(F.lit(1)).alias("__n"))
-    nk = need.join(sizes, qid, "left").fillna(0, subset=["__n"])
+    nk = write_once(need.join(sizes, qid, "left").fillna(0, subset=["__n"]), "need")
     full = nk.filter(F.col("__n") >= F.col("k")).select(qid, "k")
     short = nk.filter((F.col("__n") < F.col("k")) & (F.col("k") > 0))
     sampled = sample_without_replacement(pool.join(full.select(qid), qid, "left_semi"), full, bound, qid,

@@ -14,6 +14,7 @@ from labelrank.plans.catalog_sampling import (EPOCH, G, ORDER_CTE, REC_BODY, REC
                                               record_groups, tr_qidx)
 from labelrank.plans.oracle import sql
 from labelrank.plans.registry import register
+from labelrank.session import write_once
 
 B = 4
 
@@ -67,9 +68,9 @@ def q_tokenize_records(spark, sf):
 
 # ---- batches of record groups -----------------------------------------------------
 def batched_groups(spark, sf):
-    order = assign_batches(train_order(tr_qidx(spark, sf), "idx", True, SEED, EPOCH), B)
+    order = write_once(assign_batches(train_order(tr_qidx(spark, sf), "idx", True, SEED, EPOCH), B), "order")
     g = record_groups(spark, sf).join(order.select("qid", "batch_id", "q_idx"), "qid")
-    return g.withColumn("p_idx", (F.col("q_idx") * G + F.col("slot")).cast("bigint")), order
+    return write_once(g.withColumn("p_idx", (F.col("q_idx") * G + F.col("slot")).cast("bigint")), "groups"), order
 
 
 BATCH_CTES = REC_EXTRA + [ORDER_CTE, ("recg", REC_BODY),
