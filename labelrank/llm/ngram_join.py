@@ -92,9 +92,9 @@ def signatures(flat, offs, fp, plan) -> np.ndarray:
     """Signature rows (key, fingerprint) of sorted sets, for their own band and the one below.
 
     An empty segment would put unrelated sets into one bucket.  Its signature is dropped when
-    the next segment of the same set is not empty, and that next segment gets weight 2 instead:
-    of two sets that are both empty there, either both keep the signature, or the weight lost
-    is regained in the next segment, which both index with deletions."""
+    it and the next segment have weight 1 and the next segment of the same set is not empty; the
+    next segment gets weight 2 whenever it may have been dropped.  Of two sets that are both empty there, either both keep the signature, or
+    the weight lost is regained in the next segment, which both index with deletions."""
     lows = np.array([p[0] for p in plan])
     n = np.diff(offs)
     own = np.searchsorted(lows, n, side="right") - 1
@@ -113,14 +113,16 @@ def signatures(flat, offs, fp, plan) -> np.ndarray:
         tag = K.mix((band[doc_of].astype(U) << U(32)) + at.astype(U) + U(77))
         empty = count == 0
         double = at < d[doc_of]
-        double[after[empty]] = True
-        keep = ~(empty & (count[after] > 0))
+        lost = empty & ~double & ~double[after]
+        double[after[lost]] = True
+        keep = double | ~lost | (count[after] == 0)
         ids = fp[docs]
         out.append((K.mix(sums[keep] + tag[keep]), ids[doc_of[keep]]))
         e = np.flatnonzero(double[gseg])
         if len(e):
             g = gseg[e]
-            out.append((K.mix(sums[g] - code[e] + tag[g]), ids[doc_of[g]]))
+            # a shortened subset must meet a whole one: the even fingerprint tells them apart
+            out.append((K.mix(sums[g] - code[e] + tag[g]), ids[doc_of[g]] & ~U(1)))
     if not out:
         return np.zeros(0, SIG)
     sig = np.empty(sum(len(k) for k, _ in out), SIG)
@@ -188,6 +190,11 @@ def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) ->
         sig = np.concatenate([np.frombuffer(x.as_py(), SIG) for c in t.column("blob").chunks for x in c])
         order = np.lexsort((sig["fp"], sig["key"]))
         key, fp = sig["key"][order], sig["fp"][order]
+        run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        whole = np.repeat(np.add.reduceat((fp & U(1)).astype(np.int64), run) > 0, np.diff(np.append(run, len(key))))
+        key, fp = key[whole], fp[whole] | U(1)
+        if not len(key):
+            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
         key, fp = key[new], fp[new]
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -214,6 +221,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, by exact intersection."""
+    sets = sets.select("fp", "n", "shingles")
     left, right = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
 
     def run(batches):
@@ -260,18 +268,84 @@ def _block_links(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": rows[:, 0].copy(), "b": rows[:, 1].copy()})
 
 
-def remaining_links(buckets: DataFrame, pairs: DataFrame, comps: DataFrame, sets: DataFrame,
-                    percent: int) -> DataFrame:
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit per hash value modulo a power of two (64 or more, about the set's size): set where
+    an odd number of elements fall.  Two sketches differ in at most as many bits as the sets
+    differ in elements; halves fold by exclusive or."""
+    bits = max(64, 1 << int(max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _near_members(t: pa.Table, percent: int) -> pa.Table:
+    """Per unit, a spanning forest of the pairs of members of different components whose sketches
+    do not rule out the similarity: at most one row per member."""
+    t = t.sort_by([("unit", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    keys = [t.column(c).to_numpy() for c in ("unit", "i", "j")]
+    fp, comp, n = (t.column(c).to_numpy() for c in ("fp", "comp", "n"))
+    blobs = t.column("sketch").to_pylist()
+    cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    bounds, out = [0, *cut.tolist(), len(fp)], []
+    for lo, hi in zip(bounds, bounds[1:]):
+        if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+            continue
+        size = min(map(len, blobs[lo:hi]))
+        rows = []
+        for b in blobs[lo:hi]:
+            x = np.frombuffer(b, np.uint8)
+            while len(x) > size:
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            rows.append(x)
+        m = np.stack(rows).view(np.uint64)
+        root = list(range(hi - lo))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        c, k = comp[lo:hi], n[lo:hi]
+        for a in range(hi - lo - 1):
+            apart = np.bitwise_count(m[a + 1:] ^ m[a]).sum(axis=1, dtype=np.int64)
+            ok = (c[a + 1:] != c[a]) & (apart <= (100 - percent) * (k[a] + k[a + 1:]) // (100 + percent))
+            for b in np.flatnonzero(ok) + a + 1:
+                x, y = find(a), find(int(b))
+                if x != y:
+                    root[y] = x
+                    out.append((fp[lo + a], fp[lo + b]))
+    rows = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": rows[:, 0].copy(), "b": rows[:, 1].copy()})
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Every member of a unit, once per pair of blocks (i, j) that its own block takes part in."""
+    return (rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            .drop("own", "other", "blocks"))
+
+
+def remaining_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
-    The unit of comparison is a group of the candidate graph, where a member's set travels once
-    per block of the group, or, for groups of more than GROUP members, each bucket.  A unit is cut
-    into blocks of bounded size and every two blocks meet in a task, so each pair of members of
-    a bucket is compared somewhere."""
-    rows = (connected_components(pairs).toDF("fp", "unit")
-            .join(comps.toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-            .join(sets.select("fp", "n"), "fp"))
-    rows = write_scratch(rows, "groups")
+    ``buckets`` are those of three members or more; in smaller ones the pair of members has been
+    verified.  In buckets that hold several components, small sketches rule out most pairs; the
+    pairs left join the members to groups.  The unit of exact comparison is such a group, where a
+    member's set travels once per block of the group, or, for groups of more than GROUP members,
+    each bucket.  A unit is cut into blocks of bounded size and every two blocks meet in a task,
+    so each pair of a bucket is compared somewhere."""
+    held = (buckets.select(F.col("a").alias("bucket"), F.col("b").alias("fp")).distinct()
+            .join(comps.toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    several = (held.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
+               .filter("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    held = write_scratch(held.join(several, "bucket").join(sets.select("fp", "n"), "fp"), "open-buckets")
+    parts = max(8, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = _block_pairs(held.withColumnRenamed("bucket", "unit")).join(sets.select("fp", "sketch"), "fp")
+    near = (units.withColumn("part", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(parts))).groupBy("part")
+            .applyInArrow(lambda t: _near_members(t, percent), "a long, b long"))
+    groups = connected_components(near)
+    rows = write_scratch(held.select("fp", "comp", "n").distinct().join(groups.toDF("fp", "unit"), "fp"), "groups")
 
     def mixed(t):
         return (t.groupBy("unit").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
@@ -283,15 +357,11 @@ def remaining_links(buckets: DataFrame, pairs: DataFrame, comps: DataFrame, sets
     units = mixed(rows)
     small = rows.join(units.filter(F.col("size") <= GROUP), "unit")
     in_large = rows.join(units.filter(F.col("size") > GROUP).select("unit"), "unit", "left_semi")
-    by_bucket = (buckets.select(F.col("a").alias("unit"), F.col("b").alias("fp")).distinct()
-                 .join(in_large.select("fp", "comp", "n"), "fp"))
+    by_bucket = (held.select(F.col("bucket").alias("unit"), "fp", "comp", "n")
+                 .join(in_large.select("fp"), "fp", "left_semi"))
     large = by_bucket.join(mixed(by_bucket), "unit")
-    tasks = (small.select("unit", "fp", "comp", "blocks")
-             .unionByName(large.select("unit", "fp", "comp", "blocks"))
-             .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "fp", "comp"))
+    tasks = _block_pairs(small.select("unit", "fp", "comp", "blocks")
+                         .unionByName(large.select("unit", "fp", "comp", "blocks")))
     return (tasks.join(sets.select("fp", "shingles"), "fp").groupBy("unit", "i", "j")
             .applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
 
@@ -334,16 +404,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for batch in batches:
             for _, _, flat, fo, fp in _sets_of(batch, k):
+                sketch = [parity_sketch(flat[x:y]) for x, y in zip(fo, fo[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(np.diff(fo)), K.binary_column(flat, fo)],
-                    ["fp", "n", "shingles"])
-    sets = write_scratch(texts.mapInArrow(run, "fp long, n long, shingles binary")
+                    [pa.array(fp.view(np.int64)), pa.array(np.diff(fo)), K.binary_column(flat, fo), pa.array(sketch, pa.binary())],
+                    ["fp", "n", "shingles", "sketch"])
+    sets = write_scratch(texts.mapInArrow(run, "fp long, n long, shingles binary, sketch binary")
                          .join(wanted.select("fp"), "fp", "left_semi")
                          .dropDuplicates(["fp"]), "sets")
 
     links = write_scratch(verify_pairs(pairs, sets, percent), "links")
     comps = write_scratch(connected_components(links), "components")
-    more = write_scratch(remaining_links(members.filter("kind = 1"), pairs, comps, sets, percent), "links")
+    more = write_scratch(remaining_links(members.filter("kind = 1"), comps, sets, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
     labels = (sizes.join(comps.toDF("fp", "root"), "fp", "left")

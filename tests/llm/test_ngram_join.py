@@ -107,8 +107,40 @@ def test_bands_and_plan():
     assert all(m + d == h + 1 for (_, _, m, d), (_, _, h) in zip(dear, b)) and any(p[3] for p in dear)
 
 
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 5), (60, 66), (300, 330), (1000, 1100)):
+        union = rng.integers(0, (1 << 64) - 1, m, dtype=np.uint64)
+        x, y = (np.frombuffer(J.parity_sketch(s), np.uint8) for s in (union[:n], union))
+        while len(y) > len(x):
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+        assert np.bitwise_count(x ^ y).sum() <= m - n
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, ngram_jaccard_join(docs).collect()), key=repr) == brute(rows)
+
+
+def test_linked_sets_always_share_a_signature():
+    """Every pair of linked sets meets in a bucket, small sizes and empty segments included."""
+    import numpy as np
+    rng = np.random.default_rng(12)
+    for percent, forced in ((85, None), (80, None), (85, 1), (80, 1)):
+        plan = plan_bands({i: 10 ** 13 * (forced or 0) for i in range(99)}, 400, percent)
+        for _ in range(700):
+            n = int(rng.integers(1, 70))
+            union = rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 2))
+            both = -(-percent * n // 100)
+            a = union[:both + int(rng.integers(0, n - both + 1))]
+            b = np.concatenate([union[:both], union[len(a):]])
+            sets = [np.sort(a), np.sort(b)]
+            flat, offs = np.concatenate(sets), np.array([0, len(a), len(a) + len(b)])
+            fp = np.array([3, 5], np.uint64)
+            sig = J.signatures(flat, offs, fp, plan)
+            whole = {i: set(sig["key"][sig["fp"] == i].tolist()) for i in (3, 5)}
+            short = {i: set(sig["key"][sig["fp"] == i - 1].tolist()) for i in (3, 5)}
+            assert whole[3] & (whole[5] | short[5]) or whole[5] & short[3], (percent, forced, n)
