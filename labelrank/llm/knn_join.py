@@ -40,11 +40,11 @@ def _cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
-def needed(q: np.ndarray, pivots, count, radius, norm, k: int) -> np.ndarray:
+def needed(q: np.ndarray, pivots, count, radius, norm, k: int, own: int = 1) -> np.ndarray:
     """Which cells can hold one of the ``k`` best scores of each query (rows), from summaries.
 
     A cell's scores lie within |q| radius of q . pivot, and within |q| norm of 0.  Walking the
-    cells by their lower bounds until k + 1 vectors (one may be the query's own) are passed
+    cells by their lower bounds until k + own vectors (so many may have the query's id) are passed
     gives a score that the k-th best reaches."""
     size = np.sqrt((q * q).sum(1))[:, None]
     middle = q @ pivots.T
@@ -54,8 +54,8 @@ def needed(q: np.ndarray, pivots, count, radius, norm, k: int) -> np.ndarray:
     low = np.where(count > 0, low, -np.inf)
     order = np.argsort(-low, axis=1, kind="stable")
     passed = np.cumsum(count[order], axis=1)
-    at = np.argmax(passed >= k + 1, axis=1)
-    bound = np.where(passed[:, -1] >= k + 1,
+    at = np.argmax(passed >= k + own, axis=1)
+    bound = np.where(passed[:, -1] >= k + own,
                      np.take_along_axis(low, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
     return (high >= bound[:, None]) & (count > 0)
 
@@ -146,6 +146,7 @@ def voronoi_knn_join(queries: DataFrame, data: DataFrame, k: int = 5, pivots: in
     for r in stats:
         count[r.cell], radius[r.cell], norm[r.cell] = r.n, r.far, r.norm
     blocks = np.maximum(1, np.ceil(count / BLOCK)).astype(np.int64)
+    own = data.groupBy("id").count().agg(F.max("count")).first()[0]  # rows of one id at most
 
     # Groups of queries: near cells together, about GROUP queries each.
     n_queries = queries.count()
@@ -160,7 +161,7 @@ def voronoi_knn_join(queries: DataFrame, data: DataFrame, k: int = 5, pivots: in
             q, ids = _matrix(batch.column("x")), batch.column("id").to_numpy()
             cell, _ = _cells(q, centres)
             group = place[cell] * salts + ids % salts
-            use = needed(q, centres, count, radius, norm, k)
+            use = needed(q, centres, count, radius, norm, k, own)
             raw = np.concatenate([ids.view(np.uint8).reshape(-1, 8), q.view(np.uint8).reshape(len(q), -1)], 1)
             keys, blobs = [], []
             for g in np.unique(group):

@@ -59,3 +59,14 @@ def test_bounds_are_safe():
         assert use[i, cell[best]].all()
     tight = J.needed(x[:50] * 100, pivots, count, radius * 0, norm, 1)
     assert not tight.all()
+
+
+def test_repeated_ids(spark):
+    """Eight rows of the query's id lie in the best cell and are left out; the k best lie in others."""
+    best = [(0, [100.0, 0.0])] * 8
+    others = [(1 + i, [50.0 - i, 30.0 * (-1) ** i]) for i in range(12)] + [(100 + i, [-90.0, float(i)]) for i in range(30)]
+    df = frame(spark, best + others)
+    query = frame(spark, best[:1])
+    want = [w for w in dict.fromkeys(brute(best + others, 5, pick=lambda i: i == 0)) if w[0] == 0]
+    for pivots in (8, 20, 40):
+        assert sorted(map(tuple, J.voronoi_knn_join(query, df, 5, pivots=pivots).collect())) == want
