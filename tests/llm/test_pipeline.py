@@ -137,3 +137,24 @@ def test_odd_rows_pass_every_stage(spark):
             if name != "tokens":
                 assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key"]
         assert sorted((r.doc_id for r in docs.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_decisions_reach_their_own_rows(spark):
+    """A repeated id with other texts, and rows without an id: each row is judged by its text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a = " ".join(f"a{i}" for i in range(40))
+    b, c, d = (a.replace("a", x) for x in "bcd")
+    rows = [(3, a), (5, a), (5, b), (6, c), (None, c), (None, d), (None, d), (7, ""), (None, ""), (None, ""),
+            (8, item), (8, "x " + b.replace("b", "y")), (None, "so " + item), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, key long")
+    kept = P.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(3, a), (5, b), (6, c), (None, d), (7, ""), (None, ""), (None, ""), (8, item), (8, rows[11][1]), (9, None),
+            (None, None)]
+    assert len(item.split()) > 10  # one word more is a near duplicate
+    assert got == sorted(want, key=repr)
+    clean = P.decontamination_stage(spark, docs, SF)
+    assert clean.columns == docs.columns
+    assert sorted(r.key for r in clean.collect()) == [n for n in range(len(rows)) if n not in (10, 12)]
