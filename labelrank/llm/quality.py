@@ -5,9 +5,10 @@ of the raw corpus (all documents).  A document's log weight is the mean, over it
 log ratio of the two models (per hundred n-grams).  Only ratios of a fifth or less count, of
 n-grams that labelled bad documents hold more often than chance explains: most n-grams of natural
 text are rare, and their ratios are noise.  Documents are sampled by Gumbel top-k: those with the
-largest (log weight / temperature + Gumbel noise).  For filtering, k is the number of documents
-above the cut that separates held-out labelled rows best; a low temperature then leaves the choice
-to the weights.
+largest (log weight / temperature + Gumbel noise).  For filtering, those documents are kept whose
+noisy key exceeds (cut / temperature), with the cut that separates held-out labelled rows best: k
+is whatever that gives.  A low temperature leaves the choice to the weights, and a weight of 0 (no
+n-gram counts against the document) above the cut is kept whatever its noise.
 
 N-grams: words (A-Z lower-cased), word beginnings of 4, 6 and 8 bytes, and triples of word shapes
 (class of the first and last byte, letter case, length, equal to the word before), so that
@@ -16,6 +17,8 @@ shouting, markup and repetition have n-grams of their own.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +29,7 @@ from labelrank.llm.components import write_scratch
 from labelrank.llm.registry import register
 from labelrank.session import ship_package, table
 
+LOG = logging.getLogger(__name__)
 U = np.uint64
 #: Bytes of the word beginnings that are n-grams.
 PREFIXES = (4, 6, 8)
@@ -237,8 +241,8 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     fifth to choose the cut when ``k`` is not given.  The raw model counts all documents.
 
     Labels with a null id or quality are ignored; of several labels of an id the worst holds; a
-    null toxic label counts as not toxic.  Null and empty texts have weight 0.  Repeated rows are
-    weighed alike.  Without labels of both kinds every row is kept; empty tables give no rows."""
+    null toxic label counts as not toxic.  Null and empty texts have weight 0.  Without ``k``, rows of
+    weight 0 are kept if the cut lies below 0.  Repeated rows are weighed alike.  Without labels of both kinds every row is kept; empty tables give no rows."""
     spark = docs.sparkSession
     ship_package(spark)
     lab = (labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
@@ -271,12 +275,14 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                         .agg(F.min("log_weight").alias("log_weight")).select("log_weight", "good").collect(),
                         dtype=np.float64).reshape(-1, 2)
         cut = best_cut(held[:, 0], held[:, 1] == 1)
+        LOG.info("cut %s of %s held-out labels", cut, len(held))
         if report is not None:
             report.update(cut=cut, rows=len(held), good_kept=float((held[held[:, 1] == 1, 0] > cut).mean()),
                           bad_dropped=float((held[held[:, 1] == 0, 0] <= cut).mean()))
         key = F.col("log_weight") / temperature + gumbel(F.col("__row_id"))
-        # The k of the top-k is the number of keys above the cut: the same rows.
-        return weighed.filter(key > cut / temperature).drop("__row_id")
+        # The k of the top-k is the number of keys above the cut: the same rows.  No noise drops a clean text.
+        clean = (F.col("log_weight") >= 0) & (F.col("log_weight") > cut)
+        return weighed.filter((key > cut / temperature) | clean).drop("__row_id")
     return gumbel_top_k(weighed, k, "__row_id", temperature=temperature).drop("__row_id", "gumbel_key")
 
 

@@ -57,3 +57,17 @@ def test_ratios_drop_chance():
     assert r[0] < -5 and not r[1:].any()
     assert not Q.log_ratios(c * 0, 0, 0).any()
     assert Q.best_cut(np.array([0.0, -1, -9, -8]), np.array([True, True, False, False])) == -4.5
+
+
+def test_weight_0_survives_a_cut_close_to_0(spark, monkeypatch, caplog):
+    """The noise does not drop rows that nothing speaks against."""
+    monkeypatch.setattr(Q, "best_cut", lambda weights, good: -0.001)
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else "" if i % 3 == 1 else f"clean words {i}") for i in range(300)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    with caplog.at_level("INFO", logger=Q.__name__):
+        kept = Q.quality_sample(docs, labels).collect()
+    assert len(kept) == 300 and {r.log_weight for r in kept} == {0.0}
+    assert "cut -0.001" in caplog.text
+    monkeypatch.setattr(Q, "best_cut", lambda weights, good: 0.5)
+    assert Q.quality_sample(docs, labels).count() < 50
