@@ -4,8 +4,9 @@ A test item of n distinct 5-word shingles is contained in a document that holds
 them, so at most 0.2 n are missing, and of any 0.2 n + 1 shingles one is there.  The sketch of an
 item is its 0.2 n + 1 smallest shingle hashes (its MinHash values); items are partitioned by size,
 and each partition has the largest hash that its sketches hold.  A document's shingles are hashed
-as they stream by; only those below the largest threshold can meet a sketch.  So no contained
-item is missed, however long the document.  Candidates are verified by the exact shingles.
+as they stream by; only those up to the largest threshold of the partitions with an item that is
+small enough for the document can meet a sketch.  So no contained item is missed, however long the
+document.  Candidates are verified by the exact shingles.
 """
 
 from __future__ import annotations
@@ -58,6 +59,20 @@ def sketches(items: DataFrame, k: int, percent: int, item_col: str, text_col: st
     return shingles, sketch.join(limit, "size_class").select("item", "n", "hash", "size_class", "threshold")
 
 
+def hash_limit(classes, percent: int, n_shingles: Column) -> Column:
+    """Largest hash at which a document of ``n_shingles`` can meet a sketch, from rows (least n,
+    threshold) of the size classes; null where the document is too short for every item."""
+    fits = [F.when(n_shingles * 100 >= least * percent, F.lit(top)) for least, top in classes]
+    none = F.lit(None).cast("long")
+    return F.greatest(none, none, *fits)
+
+
+def shingles_in_reach(words: DataFrame, classes, k: int, percent: int) -> DataFrame:
+    """The columns of ``words`` with ``hash`` for every shingle that can meet a sketch."""
+    near = words.withColumn("limit", hash_limit(classes, percent, F.size("words") - k + 1)).filter("limit is not null")
+    return _explode_shingles(near, k).withColumn("hash", shingle_hash(k)).filter("hash <= limit").drop("limit")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
                     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                     item_text_col: str = "text") -> DataFrame:
@@ -70,15 +85,16 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     shingles of all; null ids are kept.  Other columns are ignored; empty tables give no rows."""
     shingles, sketch = sketches(items, k, percent, item_col, item_text_col)
     shingles, sketch = write_scratch(shingles, "item-shingles"), write_scratch(sketch, "item-sketches")
-    size, top = sketch.agg(F.count("*"), F.max("threshold")).first()
+    # one row per size class, a few dozen at most
+    by_class = sketch.groupBy("size_class").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("threshold").alias("top")).collect()
+    size, classes = sum(r["rows"] for r in by_class), [(r["least"], r["top"]) for r in by_class]
     small = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Containment depends on the text alone; two hashes stand for it.
     keyed = src.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     words = keyed.select("k1", "k2", normal_words(F.col("text")).alias("words"))
-    hits = (_explode_shingles(words, k).withColumn("hash", shingle_hash(k))
-            .filter(F.col("hash") <= F.lit(top if top is not None else -2 ** 63)))
+    hits = shingles_in_reach(words, classes, k, percent)
     candidates = write_scratch(
         hits.select("k1", "k2", F.size("words").alias("doc_words"), "hash")
         .join(small(sketch.select("hash", "item", "n").distinct()), "hash")

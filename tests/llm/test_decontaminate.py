@@ -49,3 +49,28 @@ def test_empty_tables(spark):
     assert D.contained_items(d, b).collect() == []
     d, b = frames(spark, [(1, "a b c d e")], [])
     assert D.contained_items(d, b).collect() == []
+
+
+def test_only_shingles_in_reach_of_a_class_are_joined(spark, monkeypatch):
+    """A document is searched with the classes that it is long enough for, each with its own threshold."""
+    seen = []
+    real = D.shingles_in_reach
+
+    def spy(words, classes, k, percent):
+        out = real(words, classes, k, percent)
+        seen.append((dict(classes), out.select(D.F.size("words").alias("n"), "hash").collect()))
+        return out
+    monkeypatch.setattr(D, "shingles_in_reach", spy)
+    words = [f"w{i}" for i in range(600)]
+    d, b = frames(spark, [(1, " ".join(words)), (2, " ".join(words[:30])), (3, " ".join(words[:12]))],
+                  [(1, " ".join(words[:14])), (2, " ".join(words[100:400]))])
+    assert sorted((r[0], r[1]) for r in D.contained_items(d, b).collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    classes, hits = seen[0]
+    assert sorted(classes) == [10, 296]
+    for n in (600, 30, 12):
+        limit = max(top for least, top in classes.items() if 100 * (n - 4) >= 80 * least)
+        assert all(r["hash"] <= limit for r in hits if r.n == n)
+    seen.clear()
+    short, _ = frames(spark, [(4, " ".join(words[:11]))], [(0, "")])
+    assert D.contained_items(short, b).collect() == []
+    assert seen[0][1] == []
