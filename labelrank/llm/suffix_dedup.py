@@ -37,7 +37,9 @@ _BYTE = K.mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 ANCHOR = [("anchor", "<u8"), ("seg", "<u8"), ("uid", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1")]
 WINDOW = [("hash", "<u8"), ("uid", "<i8"), ("pos", "<i4")]
 MARK = [("uid", "<i8"), ("start", "<i4"), ("end", "<i4")]
-WANT = [("uid", "<i8"), ("pos", "<i4"), ("part", "<i4")]
+WANT = [("uid", "<i8"), ("pos", "<i4"), ("deal", "<i4")]
+#: Bytes of text whose anchors, and of segments, that a part has on average at most; held in memory.
+PART_BYTES = 16 << 20
 
 
 def pack(columns, arrays) -> bytes:
@@ -188,7 +190,7 @@ def _blobs(t: pa.Table, name: str = "blob"):
     return (x.as_py() for c in t.column(name).chunks for x in c)
 
 
-def _reduce_anchors(length: int, parts: int):
+def _reduce_anchors(length: int):
     """Marks of all but first segments; and the segments whose anchor has several of them."""
     def run(t: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -210,8 +212,8 @@ def _reduce_anchors(length: int, parts: int):
         new = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(new) - 1
         several = (np.bincount(group) > 1)[group]
-        part = (K.mix(key[several]) % U(parts)).astype(np.int32)
-        return _rows(_per_uid(0, MARK, marks) + _per_uid(1, WANT, [uid[several], pos[several], part]))
+        deal = (K.mix(key[several]) >> U(33)).astype(np.int32)
+        return _rows(_per_uid(0, MARK, marks) + _per_uid(1, WANT, [uid[several], pos[several], deal]))
     return run
 
 
@@ -226,12 +228,12 @@ def _map_segments(length: int, parts: int):
             data, offs = K.text_parts(batch.column("text"))
             found = []
             for i, (uid, blobs) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("blobs").to_pylist())):
-                pos, part = unpack(WANT[1:], blobs)
+                pos, deal = unpack(WANT[1:], blobs)
                 pos = pos.astype(np.int64)
                 text = data[offs[i]:offs[i + 1]]
                 padded = np.concatenate([np.full(reach, PAD, np.uint8), text, np.full(length, PAD, np.uint8)])
                 rows = np.lib.stride_tricks.sliding_window_view(padded, width)[pos]
-                found.append((part, np.full(len(pos), uid), pos, np.minimum(pos, reach),
+                found.append((deal % parts, np.full(len(pos), uid), pos, np.minimum(pos, reach),
                               np.minimum(len(text) - pos, length),
                               np.ascontiguousarray(rows).view(f"V{width}").ravel()))
             if found:
@@ -326,6 +328,11 @@ def _hot_anchors(docs: DataFrame, length: int, n_docs: int) -> np.ndarray:
     return np.array([r[0] for r in rows.collect()], np.int64).view(U)
 
 
+def _parts(spark, n_bytes: int) -> int:
+    """Parts into which so many bytes are dealt."""
+    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = 100) -> DataFrame:
     """``(<id_col>, n_bytes, n_removed, n_spans, kept)`` per row; ``kept`` is binary (UTF-8).
@@ -341,17 +348,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship_package(spark)
     source, unique = _with_uid(docs, id_col, text_col)
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_docs = docs.count()
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+    parts = _parts(spark, n_bytes)
     hot = _hot_anchors(source, length, n_docs) if n_docs >= HOT else np.zeros(0, U)
     texts = source.select("uid", "text")
     one_each = texts if unique else texts.dropDuplicates(["uid"])
     schema = "kind int, uid long, blob binary"
     first = write_scratch(
         one_each.mapInArrow(_map_anchors(length, parts, hot), "kind int, part int, blob binary")
-        .groupBy("kind", "part").applyInArrow(_reduce_anchors(length, parts), schema), "anchors")
+        .groupBy("kind", "part").applyInArrow(_reduce_anchors(length), schema), "anchors")
     wanted = first.filter("kind = 1").groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
-    run, columns = _map_segments(length, parts)
+    packed = first.filter("kind = 1").agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0]
+    segments = packed // sum(np.dtype(t).itemsize for _, t in WANT[1:])
+    run, columns = _map_segments(length, _parts(spark, segments * (2 * length - GRAM)))
     second = write_scratch(
         one_each.join(wanted, "uid").mapInArrow(run, "kind int, part int, blob binary")
         .groupBy("part").applyInArrow(_reduce_segments(length, columns), schema), "segments")

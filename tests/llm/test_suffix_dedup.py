@@ -88,3 +88,17 @@ def test_documents(spark, sf):
     rows = sorted(tuple(r) for r in docs.select("doc_id", "text").collect())
     got = sorted(((r[0], r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(docs).collect()))
     assert got == brute(rows)
+
+
+def test_parts_follow_the_segments(spark, monkeypatch):
+    """A part keeps its byte bound whatever the number of shuffle partitions."""
+    dealt = []
+    real = S._map_segments
+    monkeypatch.setattr(S, "_map_segments", lambda length, parts: dealt.append(parts) or real(length, parts))
+    rows = corpus(random.Random(4))
+    want = brute(rows)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(S, "PART_BYTES", 1000)
+    assert run(spark, rows) == want
+    few, many = dealt
+    assert few == max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) and many > few
