@@ -21,4 +21,4 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every operator module so that its query registers."""
     from labelrank.llm import (bpe, chat, decontaminate, knn_join, ngram_join,  # noqa: F401
-                               quality, secrets, suffix_dedup, url_filters, warc)
+                               quality, repair, secrets, suffix_dedup, url_filters, warc)
