@@ -20,5 +20,5 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every operator module so that its query registers."""
-    from labelrank.llm import (bpe, chat, decontaminate, knn_join, mixing, ngram_join,  # noqa: F401
+    from labelrank.llm import (bpe, chat, collocations, decontaminate, knn_join, mixing, ngram_join,  # noqa: F401
                                quality, repair, secrets, suffix_dedup, url_filters, warc)
