@@ -22,8 +22,9 @@ from labelrank.session import table
 
 #: Membership patterns at most: they are collected, and broadcast with their share of the flow.
 MAX_PATTERNS = 100_000
-#: Hex digits of the seeded hash that name a bucket of a pattern; one bucket a pattern is sorted.
-BUCKET_DIGITS = 4
+#: Hex digits of the seeded hash that name a pattern's buckets, level by level: each level cuts the
+#: bucket in which the flow ends into 256, and only what is then in it is sorted.
+BUCKET_DIGITS = (2, 4, 6)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -149,17 +150,18 @@ def mix_sources(docs: DataFrame, weights: Mapping | Sequence[int], members_col:
     flow = route([(tuple(number[m] for m in p.members), p.size) for p in patterns], quotas, most)
     used = [sum(f.values()) for f in flow]
 
-    shares = spark.createDataFrame(
-        [(p.pattern, x // p.size, x % p.size) for p, x in zip(patterns, used) if x], "pattern string, repeats long, rest long")
-    bucket = F.substring("place", 1, BUCKET_DIGITS)
-    per_bucket = (sized.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-                  .join(F.broadcast(shares.filter("rest > 0")), "pattern"))
+    plan = spark.createDataFrame(
+        [(p.pattern, x // p.size, "", x % p.size) for p, x in zip(patterns, used) if x],
+        "pattern string, repeats long, edge string, left_over long")
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = (per_bucket.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-             .filter("start <= rest and rest < start + n")
-             .select("pattern", F.col("bucket").alias("edge"), (F.col("rest") - F.col("start")).alias("left_over")))
-    plan = write_scratch(shares.drop("rest").join(edges, "pattern", "left"), "mix-plan")
-    rows = sized.withColumn("bucket", bucket).join(F.broadcast(plan), "pattern", "left")
+    for digits in BUCKET_DIGITS:
+        inside = sized.join(F.broadcast(plan), "pattern").filter(F.col("place").startswith(F.col("edge")))
+        buckets = (inside.groupBy("pattern", "repeats", "left_over", F.substring("place", 1, digits).alias("bucket"))
+                   .agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+        plan = write_scratch(
+            buckets.filter("start <= left_over and left_over < start + n")
+            .select("pattern", "repeats", F.col("bucket").alias("edge"), (F.col("left_over") - F.col("start")).alias("left_over")), "mix-plan")
+    rows = sized.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS[-1])).join(F.broadcast(plan), "pattern", "left")
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
     earlier = Window.partitionBy("pattern").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.filter(at_edge).withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
