@@ -29,7 +29,9 @@ U = np.uint64
 LONGEST = 5
 COLUMNS = [f"w{j}" for j in range(1, LONGEST + 1)]
 #: Bytes of text that are counted together in a task, cut between pieces.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
+#: Rows of windows that a task adds up before it passes them on.
+WINDOW_ROWS = 400_000
 #: Bytes of text for each part of the hash counts, so that a part has a few million entries.
 PART_BYTES = 1 << 25
 #: The bit table has 16 bits per frequent hash within these bounds (128 MB at most), in slices.
@@ -175,8 +177,26 @@ def _is_set(bits, keys):
 
 
 def lead_windows(docs: DataFrame, bits) -> DataFrame:
-    """``(lang, w1..w5, n)``: windows of every word, added up within a chunk; see the module."""
+    """``(lang, w1..w5, n)``: windows of every word, added up while they are few; see the module."""
+    def add_up(held):
+        t = pa.Table.from_batches(held).group_by(["lang", *COLUMNS]).aggregate([("n", "sum")])
+        return t.select(["lang", *COLUMNS, "n_sum"]).rename_columns(["lang", *COLUMNS, "n"]).combine_chunks().to_batches()
+
     def run(batches):
+        held, rows = [], 0
+        for found in windows(batches):
+            held.append(found)
+            rows += found.num_rows
+            if rows > WINDOW_ROWS:
+                held = add_up(held)
+                rows = sum(b.num_rows for b in held)
+                if rows > WINDOW_ROWS // 2:
+                    yield from held
+                    held, rows = [], 0
+        if held:
+            yield from add_up(held)
+
+    def windows(batches):
         table_bits = bits.value
         for batch in batches:
             langs = batch.column("lang").to_pylist()
