@@ -32,8 +32,8 @@ COLUMNS = [f"w{j}" for j in range(1, LONGEST + 1)]
 CHUNK = 1 << 21
 #: Rows of windows that a task adds up before it passes them on.
 WINDOW_ROWS = 400_000
-#: Bytes of text for each part of the hash counts, so that a part has a few million entries.
-PART_BYTES = 1 << 25
+#: Bytes of text for each part of the hash counts, so that a part has about a million entries.
+PART_BYTES = 1 << 23
 #: The bit table has 16 bits per frequent hash within these bounds (128 MB at most), in slices.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 18
 #: Broadcast the word counts of this many languages at most; beyond it, shuffle.
