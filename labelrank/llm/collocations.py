@@ -5,10 +5,11 @@ beyond the piece.  Only these longest windows are counted.  Spark's ROLLUP over
 then sums them to every shorter prefix, and a phrase of k words occurs as often as the prefix of k
 columns that spells it; the sum of a language is its number of words.
 
-A window need not go on past a word pair that is rarer than the least count asked for, because no
-phrase with that pair is a candidate; it is padded there as at the end of a piece.  Pairs and words
-are counted by 64-bit hash beforehand and the frequent ones are told by a bit table: a hash that
-collides lets a window run on, so the table can make work but can't change a count that is reported.
+A window need not go on past two or three words in a row that are rarer than the least count asked
+for, because no phrase with them is a candidate; it is padded there as at the end of a piece.  Words
+and pairs, then triples of frequent pairs, are counted by 64-bit hash beforehand, and bit tables tell
+the frequent ones: a hash that collides lets a window run on, so the tables can make work but can't
+change a count that is reported.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ COLUMNS = [f"w{j}" for j in range(1, LONGEST + 1)]
 #: Bytes of text that are counted together in a task, cut between pieces.
 CHUNK = 1 << 21
 #: Rows of windows that a task adds up before it passes them on.
-WINDOW_ROWS = 400_000
+WINDOW_ROWS = 200_000
 #: Bytes of text for each part of the hash counts, so that a part has about a million entries.
 PART_BYTES = 1 << 23
 #: The bit table has 16 bits per frequent hash within these bounds (128 MB at most), in slices.
@@ -49,7 +50,10 @@ KIND[[9, 32]] = SPACE_BYTE
 KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = BREAK_BYTE
 #: Hash values of bytes; those between words count nothing.
 VALUE = np.where(KIND == WORD_BYTE, K.TABLES[False], U(0))
-COUNT = np.dtype([("key", "<u8"), ("n", "<u4")])
+
+
+def _count_type(least: int) -> np.dtype:
+    return np.dtype([("key", "<u8"), ("n", "<u1" if least < 256 else "<u4")])
 
 
 def _chunks(batch, limit):
@@ -103,15 +107,33 @@ class _Words:
         self.pair = K.mix(self.hash[:-1] * U(3) + K.mix(self.hash[1:]))
         self.joined = ~self.opens[1:]
 
+    def frequent_pairs(self, bits):
+        """Per pair of neighbours of one piece: words and pair are in the first bit table."""
+        known = _is_set(bits[0], self.hash)
+        return self.joined & known[:-1] & known[1:] & _is_set(bits[0], self.pair)
+
+    def triples(self):
+        return K.mix(self.pair[:-1] * U(5) + K.mix(self.hash[2:] + U(1)))
+
+    def keys(self, bits):
+        """Hashes to count: words and pairs, or, where their table is known, triples of frequent pairs."""
+        if not bits:
+            return np.concatenate([self.hash, self.pair[self.joined]])
+        pairs = self.frequent_pairs(bits)
+        return self.triples()[pairs[:-1] & pairs[1:]] if len(pairs) > 1 else np.zeros(0, U)
+
 
 def _seeds(langs) -> np.ndarray:
     known = {x: zlib.crc32(x.encode()) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for x in set(langs)}
     return np.array([known[x] for x in langs], U)
 
 
-def frequent_hashes(docs: DataFrame, least: int, parts: int) -> DataFrame:
-    """``(n, keys)``: packed hashes of the words and word pairs (of a language) with ``least`` or more
-    occurrences, and their number.  Counts travel as packed blocks per chunk and part."""
+def frequent_hashes(docs: DataFrame, least: int, parts: int, bits=None) -> DataFrame:
+    """``(n, keys)``: packed hashes, of words and word pairs (of a language), or of triples where
+    ``bits`` holds the table of those, with ``least`` or more occurrences, and their number.  Counts
+    travel as packed blocks per chunk and part."""
+    entry = _count_type(least)
+
     def count(batches):
         for batch in batches:
             seeds = _seeds(batch.column("lang").to_pylist())
@@ -119,10 +141,12 @@ def frequent_hashes(docs: DataFrame, least: int, parts: int) -> DataFrame:
                 w = _Words(*chunk, seeds)
                 if not len(w.starts):
                     continue
-                keys, n = np.unique(np.concatenate([w.hash, w.pair[w.joined]]), return_counts=True)
+                keys, n = np.unique(w.keys(bits.value if bits else None), return_counts=True)
+                if not len(keys):
+                    continue
                 part = (keys % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                block = np.empty(len(keys), COUNT)
+                block = np.empty(len(keys), entry)
                 block["key"], block["n"] = keys[order], np.minimum(n[order], least)
                 offs = np.searchsorted(part[order], np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(offs))
@@ -130,7 +154,7 @@ def frequent_hashes(docs: DataFrame, least: int, parts: int) -> DataFrame:
                     [pa.array(full.astype(np.int32)), K.binary_column(block, np.append(offs[:-1][full], offs[-1]))], ["part", "block"])
 
     def add_up(t: pa.Table) -> pa.Table:
-        block = np.concatenate([np.frombuffer(x.as_py(), COUNT) for c in t.column("block").chunks for x in c])
+        block = np.concatenate([np.frombuffer(x.as_py(), entry) for c in t.column("block").chunks for x in c])
         order = np.argsort(block["key"], kind="stable")
         key, n = block["key"][order], block["n"][order].astype(np.int64)
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -212,9 +236,11 @@ def lead_windows(docs: DataFrame, bits) -> DataFrame:
 
 def _chunk_windows(w, code, names, bits):
     n = len(w.starts)
-    known = _is_set(bits, w.hash)
-    goes_on = np.zeros(n, bool)  # this word and the next are a frequent pair of one piece
-    goes_on[:-1] = w.joined & known[:-1] & known[1:] & _is_set(bits, w.pair)
+    known = _is_set(bits[0], w.hash)
+    pair, triple = np.zeros(n, bool), np.zeros(n, bool)  # the next one or two words go with this one
+    pair[:-1] = w.frequent_pairs(bits)
+    if n > 2:
+        triple[:-2] = _is_set(bits[1], w.triples())
     # Strings of the frequent words, each once; 0 is the empty string
     some = np.flatnonzero(known)
     size = w.ends[some] - w.starts[some]
@@ -231,7 +257,7 @@ def _chunk_windows(w, code, names, bits):
         lead = np.where(runs, ids[j:j + n], 0)
         columns.append(lead)
         row = np.unique(row * (len(words) + 1) + lead, return_inverse=True)[1]
-        runs[:n - j] &= goes_on[j:]
+        runs[:n - j] &= pair[j:] & (triple[j - 1:n - 1] if j else True)
         runs[n - j:] = False
     first, counts = np.unique(row, return_index=True, return_counts=True)[1:]
     arrays = [pa.array(names, pa.string()).take(pa.array(code[w.doc[first]]))]
@@ -246,8 +272,11 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    hashes = write_scratch(frequent_hashes(src, least, max(8, size // PART_BYTES)), "phrase-hashes")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(hashes))
+    parts, context = max(8, size // PART_BYTES), docs.sparkSession.sparkContext
+    pairs = bit_table(write_scratch(frequent_hashes(src, least, parts), "phrase-hashes"))
+    bits = context.broadcast([pairs])
+    triples = bit_table(write_scratch(frequent_hashes(src, least, parts, bits), "phrase-hashes"))
+    bits = context.broadcast([pairs, triples])
     level = F.grouping_id()
     rolled = lead_windows(src, bits).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), level.alias("level"))
     # the level has a bit per column, set where the column is summed away
