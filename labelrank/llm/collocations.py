@@ -32,10 +32,10 @@ COLUMNS = [f"w{j}" for j in range(1, LONGEST + 1)]
 #: Bytes of text that are counted together in a task, cut between pieces.
 CHUNK = 1 << 21
 #: Rows of windows that a task adds up before it passes them on.
-WINDOW_ROWS = 200_000
+WINDOW_ROWS = 500_000
 #: Bytes of text for each part of the hash counts, so that a part has about a million entries.
 PART_BYTES = 1 << 23
-#: The bit table has 16 bits per frequent hash within these bounds (128 MB at most), in slices.
+#: A bit table has 32 bits per frequent hash within these bounds (128 MB at most), in slices; two are set.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 20, 30, 18
 #: Broadcast the word counts of this many languages at most; beyond it, shuffle.
 BROADCAST_LANGS = 100_000
@@ -166,14 +166,15 @@ def frequent_hashes(docs: DataFrame, least: int, parts: int, bits=None) -> DataF
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
-    """Bits as bytes, set at every hash modulo the size of the table; its size is bounded (MOST_BITS)."""
+    """Bits as bytes, set at two places of every hash; the size of the table is bounded (MOST_BITS)."""
     total = hashes.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(16 * total).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(32 * total).bit_length()))
 
     def deal(batches):
         for batch in batches:
             for keys in batch.column("keys"):
-                at = np.sort(np.frombuffer(keys.as_py(), U) & U((1 << bits) - 1))
+                keys = np.frombuffer(keys.as_py(), U)
+                at = np.sort(np.concatenate([keys, keys >> U(32)]) & U((1 << bits) - 1))
                 part = (at >> U(SLICE_BITS)).astype(np.int64)
                 offs = np.searchsorted(part, np.arange((1 << bits - SLICE_BITS) + 1))
                 full = np.flatnonzero(np.diff(offs))
@@ -196,8 +197,10 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 
 
 def _is_set(bits, keys):
-    at = keys & U(len(bits) * 8 - 1)
-    return (bits[(at >> U(3)).astype(np.int64)] >> (U(7) - (at & U(7))).astype(np.uint8) & 1).astype(bool)
+    def probe(at):
+        at = at & U(len(bits) * 8 - 1)
+        return (bits[(at >> U(3)).astype(np.int64)] >> (U(7) - (at & U(7))).astype(np.uint8) & 1).astype(bool)
+    return probe(keys) & probe(keys >> U(32))
 
 
 def lead_windows(docs: DataFrame, bits) -> DataFrame:
