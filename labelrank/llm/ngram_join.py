@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelrank.llm import kernels as K
-from labelrank.llm.components import connected_components, write_scratch
+from labelrank.llm.components import connected_components, remove_scratch, write_scratch
 from labelrank.llm.registry import register
-from labelrank.session import ship_package, table
+from labelrank.session import scratch_path, ship_package, table
 
 U = np.uint64
 SIG = np.dtype([("key", "<u8"), ("fp", "<u8")])
@@ -153,19 +153,20 @@ def _sets_of(batch, k):
 
 
 def shingle_sizes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fp) of every row: distinct shingles and fingerprint of the set (0: empty set)."""
+    """(id, n, fp, sketch) of every row: distinct shingles, fingerprint (0: empty set) and parity sketch of the set."""
     def run(batches):
         for batch in batches:
-            n, fps = [], []
-            for _, _, _, fo, fp in _sets_of(batch, k):
+            n, fps, sketch = [], [], []
+            for _, _, flat, fo, fp in _sets_of(batch, k):
                 n.append(np.diff(fo))
                 fps.append(fp.view(np.int64))
+                sketch += [parity_sketch(flat[x:y]) for x, y in zip(fo, fo[1:])]
             if n:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(fps))],
-                    ["id", "n", "fp"])
+                    [batch.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(fps)), pa.array(sketch, pa.binary())],
+                    ["id", "n", "fp", "sketch"])
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n long, fp long")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n long, fp long, sketch binary")
 
 
 def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) -> DataFrame:
@@ -219,6 +220,22 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((z[1:] == z[:-1]).sum())
 
 
+def plausible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that neither the sizes nor the parity sketches of their sets rule out."""
+    left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+
+    def run(batches):
+        for batch in batches:
+            most = ((batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - percent)) // (100 + percent)
+            ok = [int(np.bitwise_count(x ^ y).sum()) <= m
+                  for (x, y), m in zip(map(_folded, zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return (pairs.join(right, "b").join(left, "a")
+            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .mapInArrow(run, "a long, b long"))
+
+
 def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, by exact intersection."""
     sets = sets.select("fp", "n", "shingles")
@@ -277,6 +294,17 @@ def parity_sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sketches) -> list[np.ndarray]:
+    """Sketches brought to the length of the shortest, as 64-bit words."""
+    size, out = min(map(len, sketches)), []
+    for b in sketches:
+        x = np.frombuffer(b, U)
+        while len(x) * 8 > size:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out.append(x)
+    return out
+
+
 def _near_members(t: pa.Table, percent: int) -> pa.Table:
     """Per unit, a spanning forest of the pairs of members of different components whose sketches
     do not rule out the similarity: at most one row per member."""
@@ -289,14 +317,7 @@ def _near_members(t: pa.Table, percent: int) -> pa.Table:
     for lo, hi in zip(bounds, bounds[1:]):
         if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
             continue
-        size = min(map(len, blobs[lo:hi]))
-        rows = []
-        for b in blobs[lo:hi]:
-            x = np.frombuffer(b, np.uint8)
-            while len(x) > size:
-                x = x[:len(x) // 2] ^ x[len(x) // 2:]
-            rows.append(x)
-        m = np.stack(rows).view(np.uint64)
+        m = np.stack(_folded(blobs[lo:hi]))
         root = list(range(hi - lo))
 
         def find(x):
@@ -326,11 +347,11 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
             .drop("own", "other", "blocks"))
 
 
-def remaining_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
     ``buckets`` are those of three members or more; in smaller ones the pair of members has been
-    verified.  In buckets that hold several components, small sketches rule out most pairs; the
+    verified.  ``sets_of`` gives the shingle sets of a frame of fingerprints.  In buckets that hold several components, small sketches rule out most pairs; the
     pairs left join the members to groups.  The unit of exact comparison is such a group, where a
     member's set travels once per block of the group, or, for groups of more than GROUP members,
     each bucket.  A unit is cut into blocks of bounded size and every two blocks meet in a task,
@@ -339,13 +360,13 @@ def remaining_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, perce
             .join(comps.toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     several = (held.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
                .filter("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    held = write_scratch(held.join(several, "bucket").join(sets.select("fp", "n"), "fp"), "open-buckets")
-    parts = max(8, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    units = _block_pairs(held.withColumnRenamed("bucket", "unit")).join(sets.select("fp", "sketch"), "fp")
+    held = write_scratch(held.join(several, "bucket").join(sketches.select("fp", "n"), "fp"), "open-buckets", folder)
+    parts = max(8, 4 * int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = _block_pairs(held.withColumnRenamed("bucket", "unit")).join(sketches.select("fp", "sketch"), "fp")
     near = (units.withColumn("part", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(parts))).groupBy("part")
             .applyInArrow(lambda t: _near_members(t, percent), "a long, b long"))
-    groups = connected_components(near)
-    rows = write_scratch(held.select("fp", "comp", "n").distinct().join(groups.toDF("fp", "unit"), "fp"), "groups")
+    groups = connected_components(near, folder=folder)
+    rows = write_scratch(held.select("fp", "comp", "n").distinct().join(groups.toDF("fp", "unit"), "fp"), "groups", folder)
 
     def mixed(t):
         return (t.groupBy("unit").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
@@ -362,6 +383,7 @@ def remaining_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, perce
     large = by_bucket.join(mixed(by_bucket), "unit")
     tasks = _block_pairs(small.select("unit", "fp", "comp", "blocks")
                          .unionByName(large.select("unit", "fp", "comp", "blocks")))
+    sets = sets_of(rows.select("fp").distinct())
     return (tasks.join(sets.select("fp", "shingles"), "fp").groupBy("unit", "i", "j")
             .applyInArrow(lambda t: _block_links(t, percent), "a long, b long"))
 
@@ -379,6 +401,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship_package(spark)
+    folder = scratch_path(spark, "jaccard-join")  # what only the search reads
     sizes = write_scratch(shingle_sizes(docs, k, id_col, text_col), "shingle-sizes")
     found = sizes.select("n").filter("n > 0").agg(F.max("n")).first()[0] or 1
     bands = bands_upto(found, percent)
@@ -387,36 +410,42 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_band = {r[0]: r[1] for r in sizes.filter("n > 0").groupBy(band.alias("band")).count().collect()}
     plan = plan_bands(per_band, found, percent)
     parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    members = write_scratch(bucket_members(docs, k, plan, parts, text_col), "buckets")
-    pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct(), "candidates")
+    members = write_scratch(bucket_members(docs, k, plan, parts, text_col), "buckets", folder)
+    pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct(), "candidates", folder)
 
-    # Shingle sets of one document per fingerprint that is a candidate.
+    # One document per fingerprint that is a candidate.
     wanted = write_scratch(
         sizes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp")
-        .groupBy("fp").agg(F.min("id").alias("id")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
+        .groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "wanted", folder)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = wanted.select("id").distinct()
-    texts = source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
-    if not wanted.filter("id is null").isEmpty():  # sets that only rows without an id have
-        texts = texts.unionByName(source.filter("id is null").select("text"))
 
-    def run(batches):
+    def shingle_set(batches):
         for batch in batches:
             for _, _, flat, fo, fp in _sets_of(batch, k):
-                sketch = [parity_sketch(flat[x:y]) for x, y in zip(fo, fo[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(np.diff(fo)), K.binary_column(flat, fo), pa.array(sketch, pa.binary())],
-                    ["fp", "n", "shingles", "sketch"])
-    sets = write_scratch(texts.mapInArrow(run, "fp long, n long, shingles binary, sketch binary")
-                         .join(wanted.select("fp"), "fp", "left_semi")
-                         .dropDuplicates(["fp"]), "sets")
-
-    links = write_scratch(verify_pairs(pairs, sets, percent), "links")
-    comps = write_scratch(connected_components(links), "components")
-    more = write_scratch(remaining_links(members.filter("kind = 1"), comps, sets, percent), "links")
+                    [pa.array(fp.view(np.int64)), pa.array(np.diff(fo)), K.binary_column(flat, fo)], ["fp", "n", "shingles"])
+
+    def sets_of(fps):
+        chosen = write_scratch(wanted.select("fp", "id").join(fps, "fp"), "chosen", folder)
+        few = chosen.count() <= BROADCAST_ROWS
+        ids = chosen.select("id").distinct()
+        texts = source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        if not chosen.filter("id is null").isEmpty():  # sets that only rows without an id have
+            texts = texts.unionByName(source.filter("id is null").select("text"))
+        return write_scratch(texts.mapInArrow(shingle_set, "fp long, n long, shingles binary")
+                             .join(chosen.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets", folder)
+
+    # Sizes and sketches rule most chance candidates out before any set is written or travels.
+    sketches = wanted.select("fp", "n", "sketch")
+    pairs = write_scratch(plausible_pairs(pairs, sketches, percent), "plausible", folder)
+    sets = sets_of(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    links = write_scratch(verify_pairs(pairs, sets, percent), "links", folder)
+    comps = write_scratch(connected_components(links, folder=folder), "components", folder)
+    more = write_scratch(remaining_links(members.filter("kind = 1"), comps, sketches, sets_of, percent, folder), "links", folder)
     if not more.isEmpty():
-        comps = connected_components(links.union(more))
+        comps = connected_components(links.union(more), folder=folder)
+    comps = write_scratch(comps, "components")
+    remove_scratch(spark, folder)
     labels = (sizes.join(comps.toDF("fp", "root"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     low = labels.filter("n > 0").groupBy("root").agg(F.min("id").alias("low"))
