@@ -60,7 +60,8 @@ def trigram_query(pattern: str, most: int = 64):
     def flush(strings):
         sets = [frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings]
         if sets and all(sets):
-            parts.append(sorted(set(sets), key=sorted))
+            least = [s for s in set(sets) if not any(other < s for other in sets)]  # supersets are implied
+            parts.append(sorted(least, key=sorted))
 
     def exact(node):
         """All strings of a node, or None where they are unknown or too many."""
