@@ -203,26 +203,18 @@ def _is_set(bits, keys):
     return probe(keys) & probe(keys >> U(32))
 
 
-def lead_windows(docs: DataFrame, bits) -> DataFrame:
-    """``(lang, w1..w5, n)``: windows of every word, added up while they are few; see the module."""
-    def add_up(held):
-        t = pa.Table.from_batches(held).group_by(["lang", *COLUMNS]).aggregate([("n", "sum")])
-        return t.select(["lang", *COLUMNS, "n_sum"]).rename_columns(["lang", *COLUMNS, "n"]).combine_chunks().to_batches()
+def _add_up(batches: list[pa.RecordBatch]) -> pa.Table:
+    """Equal windows of one language summed."""
+    keys = [c for c in batches[0].schema.names if c != "n"]
+    t = pa.Table.from_batches(batches).group_by(keys).aggregate([("n", "sum")])
+    return t.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
 
-    def run(batches):
-        held, rows = [], 0
-        for found in windows(batches):
-            held.append(found)
-            rows += found.num_rows
-            if rows > WINDOW_ROWS:
-                held = add_up(held)
-                rows = sum(b.num_rows for b in held)
-                if rows > WINDOW_ROWS // 2:
-                    yield from held
-                    held, rows = [], 0
-        if held:
-            yield from add_up(held)
 
+def lead_windows(docs: DataFrame, bits, parts: int) -> DataFrame:
+    """``(lang, w1..w5, n)``: the distinct windows and how many words open them; see the module.
+
+    A task sums its windows while they are few and sends them packed, by part; the blocks of a part
+    are summed again, so ROLLUP starts from distinct windows."""
     def windows(batches):
         table_bits = bits.value
         for batch in batches:
@@ -233,11 +225,44 @@ def lead_windows(docs: DataFrame, bits) -> DataFrame:
             for chunk in _chunks(batch, CHUNK):
                 w = _Words(*chunk, seeds)
                 if len(w.starts):
-                    yield _chunk_windows(w, code, names, table_bits)
-    return docs.mapInArrow(run, ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "n long"]))
+                    yield _chunk_windows(w, code, names, table_bits, parts)
+
+    def packed(held):
+        t = _add_up(held).sort_by("part")
+        part = t.column("part").to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        rows, t = t.drop_columns("part").combine_chunks(), None
+        blocks = []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows.slice(lo, hi - lo))
+            blocks.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    def run(batches):
+        held, rows = [], 0
+        for found in windows(batches):
+            held.append(found)
+            rows += found.num_rows
+            if rows > WINDOW_ROWS:
+                held = _add_up(held).to_batches()
+                rows = sum(b.num_rows for b in held)
+                if rows > WINDOW_ROWS // 2:
+                    yield packed(held)
+                    held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    def unpack(t: pa.Table) -> pa.Table:
+        found = [b for c in t.column("block").chunks for x in c for b in pa.ipc.open_stream(x.as_buffer())]
+        return _add_up(found)
+
+    columns = ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "n long"])
+    return docs.mapInArrow(run, "part int, block binary").groupBy("part").applyInArrow(unpack, columns)
 
 
-def _chunk_windows(w, code, names, bits):
+def _chunk_windows(w, code, names, bits, parts):
     n = len(w.starts)
     known = _is_set(bits[0], w.hash)
     pair, triple = np.zeros(n, bool), np.zeros(n, bool)  # the next one or two words go with this one
@@ -265,7 +290,10 @@ def _chunk_windows(w, code, names, bits):
     first, counts = np.unique(row, return_index=True, return_counts=True)[1:]
     arrays = [pa.array(names, pa.string()).take(pa.array(code[w.doc[first]]))]
     arrays += [words.take(pa.array(c[first])) for c in columns]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(counts.astype(np.int64))], ["lang", *COLUMNS, "n"])
+    # Equal windows go to one part: that of their first two words, of the first alone, or of none
+    key = np.where(pair, np.append(w.pair, U(0)), np.where(known, w.hash, U(0)))[first]
+    arrays.append(pa.array((key % U(parts)).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(counts.astype(np.int64))], ["lang", *COLUMNS, "part", "n"])
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -281,7 +309,7 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     triples = bit_table(write_scratch(frequent_hashes(src, least, parts, bits), "phrase-hashes"))
     bits = context.broadcast([pairs, triples])
     level = F.grouping_id()
-    rolled = lead_windows(src, bits).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), level.alias("level"))
+    rolled = lead_windows(src, bits, parts).rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), level.alias("level"))
     # the level has a bit per column, set where the column is summed away
     depth = LONGEST - F.bit_count("level")
     last = F.element_at(F.array(*COLUMNS), F.greatest(depth, F.lit(1)).cast("int"))
