@@ -13,7 +13,7 @@ import pyarrow as pa
 U = np.uint64
 MULT = 0x9E3779B97F4A7C15
 INV = pow(MULT, -1, 1 << 64)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
