@@ -20,6 +20,7 @@ from labelrank.models import generate_in_pandas
 from labelrank.operators import sampling as S
 from labelrank.operators.lookup import attach_passages, attach_teacher_scores
 from labelrank.operators.knn import knn_exact
+from labelrank.operators.ledger import generate_with_ledger
 from labelrank.operators.metrics import TREC_CLI_CUTOFFS, eval_msmarco, eval_trec
 from labelrank.operators.ranking import assign_batches, train_order
 from labelrank.operators.vectors import pad_batch, tokenize_corpus, truncate_tokens
@@ -28,11 +29,16 @@ from labelrank.sources import files as io
 
 
 def batch_generate(df: DataFrame, factory: Callable, out_col: str, keep: list[str],
-                   context: list[str] | None = None, materialize: str | None = None) -> DataFrame:
+                   context: list[str] | None = None, materialize: str | None = None,
+                   ledger: str | None = None) -> DataFrame:
     """Prompt rows -> reply column.  ``keep`` columns pass through; ``context``
     columns are also shown to the generator (stand-ins use them, models read
-    ``prompt``).  With ``materialize`` (a path) the replies are written and read back."""
+    ``prompt``).  With ``materialize`` (a path) the replies are written and read back.
+    With ``ledger`` (a folder) prompts that it answers are not sent again, also after a
+    restart (:func:`labelrank.operators.ledger.generate_with_ledger`)."""
     ship_package(df.sparkSession)
+    if ledger:
+        return generate_with_ledger(df, factory, out_col, keep, ledger, context)
     cols = list(dict.fromkeys(keep + ["prompt"] + (context or [])))
     src = df.select(*cols)
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
@@ -56,26 +62,26 @@ def _truncated(col="passages"):
 
 
 def annotate_relevance(candidates: DataFrame, factory: Callable, materialize: str | None = None,
-                       zero: str = "ignore", strip: bool = False) -> DataFrame:
+                       zero: str = "ignore", strip: bool = False, ledger: str | None = None) -> DataFrame:
     """candidates -> relevance prompt -> generate -> 0/1 ``relevance_score`` per passage."""
     f = formatted(candidates)
     prompts = f.select("query_id", "query", "passages_ids", _truncated(),
                        P.render_chat(P.relevance_messages(F.col("query"), F.col("passages"))).alias("prompt"))
     gen = batch_generate(prompts.withColumnRenamed("passages_trunc", "passages"), factory, "relevance_output",
-                         ["query_id", "passages_ids"], ["query", "passages"], materialize)
+                         ["query_id", "passages_ids"], ["query", "passages"], materialize, ledger)
     return gen.withColumn("relevance_score", R.parse_selection("relevance_output", "passages_ids", zero, strip))
 
 
-def annotate_answer(candidates: DataFrame, factory: Callable, materialize: str | None = None) -> DataFrame:
+def annotate_answer(candidates: DataFrame, factory: Callable, materialize: str | None = None, ledger: str | None = None) -> DataFrame:
     """All candidates -> answer prompt -> generate -> reasoning stripped."""
     f = formatted(candidates)
     prompts = f.select("query_id", P.render_chat(P.answer_messages(F.col("query"), F.col("passages"))).alias("prompt"))
-    gen = batch_generate(prompts, factory, "answer_output", ["query_id"], None, materialize)
+    gen = batch_generate(prompts, factory, "answer_output", ["query_id"], None, materialize, ledger)
     return gen.withColumn("answer", T.strip_reasoning("answer_output"))
 
 
 def annotate_utility(candidates: DataFrame, relevance: DataFrame, answers: DataFrame, factory: Callable,
-                     materialize: str | None = None, zero: str = "ignore", strip: bool = False) -> DataFrame:
+                     materialize: str | None = None, zero: str = "ignore", strip: bool = False, ledger: str | None = None) -> DataFrame:
     """Relevant passages (ordered) + stripped answer -> utility prompt -> generate -> 0/1 ``utility_score``."""
     f = formatted(candidates)
     lookup = f.select(F.explode(F.arrays_zip("passages_ids", "passages")).alias("z")).select(
@@ -86,19 +92,19 @@ def annotate_utility(candidates: DataFrame, relevance: DataFrame, answers: DataF
     prompts = rows.select("query_id", "query", F.col("ids").alias("passages_ids"), _truncated(),
                           P.render_chat(P.utility_messages(F.col("query"), F.col("passages"), F.col("answer"))).alias("prompt"))
     gen = batch_generate(prompts.withColumnRenamed("passages_trunc", "passages"), factory, "utility_output",
-                         ["query_id", "passages_ids"], ["query", "passages"], materialize)
+                         ["query_id", "passages_ids"], ["query", "passages"], materialize, ledger)
     return gen.withColumn("utility_score", R.parse_selection("utility_output", "passages_ids", zero, strip))
 
 
 def rank_utility(candidates: DataFrame, answers: DataFrame, factory: Callable,
-                 materialize: str | None = None) -> DataFrame:
+                 materialize: str | None = None, ledger: str | None = None) -> DataFrame:
     """Listwise utility ranking prompt -> generate -> ``ranking_score``, ``ranked_passage_ids``."""
     f = formatted(candidates).join(answers.select("query_id", "answer"), "query_id")
     prompts = f.select("query_id", "query", "passages_ids", _truncated(),
                        P.render_chat(P.utility_ranking_messages(F.col("query"), F.col("passages"), F.col("answer")))
                        .alias("prompt"))
     gen = batch_generate(prompts.withColumnRenamed("passages_trunc", "passages"), factory, "utility_ranking",
-                         ["query_id", "passages_ids"], ["query", "passages"], materialize)
+                         ["query_id", "passages_ids"], ["query", "passages"], materialize, ledger)
     order, ids = R.parse_ranking("utility_ranking", "passages_ids")
     return gen.select("*", order.alias("ranking_score"), ids.alias("ranked_passage_ids"))
 
