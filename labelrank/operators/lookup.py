@@ -73,15 +73,19 @@ def attach_tokens(df: DataFrame, tokens: DataFrame, key: str = "docid", order: s
 
 
 def attach_teacher_scores(groups: DataFrame, scores: DataFrame | None, qid: str = "qid",
-                          did: str = "docid", score: str = "score") -> DataFrame:
-    """Teacher score of every (query, passage); 0.0 when absent.  Without a score
-    table there is no score column at all."""
+                          did: str = "docid", score: str = "score", order: str | None = None) -> DataFrame:
+    """Teacher score of every (query, passage); 0.0 when absent.  A pair that is scored several times
+    has its last score by ``order``, else the largest.  Without a score table there is no score
+    column at all."""
     if scores is None:
         return groups
-    s = scores.select(F.col(qid), F.col(did), F.col(score).cast("double").alias(score))
+    value = F.col(score).cast("double")
+    s = scores.groupBy(qid, did).agg((F.max_by(value, F.col(order)) if order else F.max(value)).alias(score))
     return groups.join(s, [qid, did], "left").withColumn(score, F.coalesce(F.col(score), F.lit(0.0)))
 
 
 def offset_to_id(results: DataFrame, id_map: DataFrame, offset: str = "offset", id_col: str = "id") -> DataFrame:
-    """Search results by row offset -> ids (equi-join on the offset)."""
-    return results.join(id_map.select(offset, id_col), offset).drop(offset)
+    """Search results by row offset -> ids (equi-join on the offset).  An offset without an id fails
+    the job; of several ids of one offset the largest counts."""
+    ids = last_wins(id_map, offset, id_col).withColumn("__found", F.lit(True))
+    return found_or_fail(results.join(ids, offset, "left"), offset, "id of offset").drop(offset)
