@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelrank.functions import replies as R
+from labelrank.models import OverlapRanker
 from labelrank.operators import lookup as LK
 from labelrank.operators.knn import knn_exact
 from labelrank.operators.ranking import global_index
 from labelrank.operators.vectors import hashed_bow_encode
 from labelrank.plans import fixtures as fx
 from labelrank.plans import jobs as J
+from labelrank.plans.catalog_jobs import OVERLAP_CTES
 from labelrank.plans.catalog_vectors import bow_ctes
 from labelrank.plans.oracle import sql
 from labelrank.plans.registry import register
+from labelrank.plans.rerank import rerank_windows, window_starts
 from labelrank.session import scratch_path
 
 #: The hits that a reply may move; those before and behind stay.
@@ -91,3 +94,25 @@ def q_apply_permutation_cut(spark, sf):
         F.lit(" [0] [91]")).alias("reply"))
     out = R.apply_permutation(hits, replies, CUT_START, CUT_END, moved=("pid",))
     return out.select("qid", "slot", "pid", "rank", F.round("score", 6).alias("score"))
+
+
+WINDOW, STEP, DEPTH = 8, 4, fx.CAND_GROUP + 1
+STARTS = window_starts(DEPTH, WINDOW, STEP)
+
+
+@register("rerank_windows", sql(
+    "SELECT query_id AS qid, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS slot, unnest(h).docid AS pid FROM rounds "
+    f"WHERE round = {len(STARTS)}", extra=OVERLAP_CTES + [
+        ("lists", "SELECT query_id, list({'n': n, 'docid': docid} ORDER BY pos) AS h FROM ann GROUP BY query_id"),
+        ("turns", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {s})" for i, s in enumerate(STARTS)) + ") t(round, start)"),
+        ("rounds", "SELECT query_id, h, 0 AS round FROM lists UNION ALL "
+                   f"SELECT query_id, list_concat(h[1:start], list_transform(list_sort(list_transform(h[start + 1:start + {WINDOW}], "
+                   "lambda x, i: {'less': -x.n, 'i': i, 'n': x.n, 'docid': x.docid})), lambda x: {'n': x.n, 'docid': x.docid}), "
+                   f"h[start + {WINDOW} + 1:]), round + 1 FROM rounds JOIN turns USING (round)")]).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_rerank_windows(spark, sf):
+    """Every candidate list re-ranked by windows of 8 hits, 4 apart, from the last hits to the first."""
+    lists = J.formatted(fx.fx_candidate_lists(spark, sf)).select("query_id", "query", "passages_ids", J._truncated())
+    z = F.posexplode(F.arrays_zip(F.col("passages_ids").alias("pid"), F.col("passages_trunc").alias("passage"))).alias("slot", "z")
+    hits = lists.select(F.col("query_id").alias("qid"), z).select("qid", F.col("slot").cast("bigint").alias("slot"), "z.pid", "z.passage")
+    queries = lists.select(F.col("query_id").alias("qid"), "query")
+    return rerank_windows(hits, queries, OverlapRanker, DEPTH, WINDOW, STEP).select("qid", "slot", "pid")
