@@ -13,7 +13,7 @@ import pyarrow as pa
 U = np.uint64
 MULT = 0x9E3779B97F4A7C15
 INV = pow(MULT, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ _POW: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POW or len(_POW["p"]) <= n:
-        size = max(n + 1, CHUNK + 1)
+        size = 1 << n.bit_length()
         for name, base in (("p", MULT), ("i", INV)):
             a = np.full(size, base, dtype=U)
             a[0] = 1

@@ -36,6 +36,8 @@ BROADCAST_ROWS = 2_000_000
 BLOCK, BLOCK_ELEMENTS = 1024, 2_000_000
 #: A group of the candidate graph is compared as a whole up to this many members, else by bucket.
 GROUP = 8192
+#: Bytes of text that a task works on at a time.
+TEXT_BYTES = 1 << 20
 #: Chance that an element of one set lies in an unrelated set, for the cost model only.
 CHANCE = 0.1
 
@@ -146,7 +148,7 @@ def _fingerprints(flat, offs) -> np.ndarray:
 def _sets_of(batch, k):
     """Chunks of a batch: (first row, last row, sorted shingle sets, offsets, fingerprints)."""
     data, offs = K.text_parts(batch.column("text"))
-    for i, j, part, rel in K.chunks(data, offs):
+    for i, j, part, rel in K.chunks(data, offs, TEXT_BYTES):
         h, wo = K.words(part, rel)
         flat, fo = K.distinct_sorted(*K.shingles(h, wo, k))
         yield i, j, flat, fo, _fingerprints(flat, fo)

@@ -37,6 +37,8 @@ PREFIXES = (4, 6, 8)
 BUCKETS = (1 << 20) + (1 << 16) + len(PREFIXES) * (1 << 18)
 #: Labelled rows used for fitting and calibration at most (a bounded sample, by hash of the id).
 MAX_LABELLED = 50_000
+#: Bytes of text that a task works on at a time.
+TEXT_BYTES = 1 << 20
 #: Pseudo-count of the ratio; least G statistic and greatest log ratio that count.
 SHRINK, LEAST_G, MOST_RATIO = 0.5, 15.0, -1.6
 #: Weights are per so many n-grams; texts count as this many at least.
@@ -107,7 +109,7 @@ def _counts(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             data, offs = K.text_parts(batch.column("text"))
             kind = batch.column("class").to_numpy()
-            for i, j, part, rel in K.chunks(data, offs):
+            for i, j, part, rel in K.chunks(data, offs, TEXT_BYTES):
                 b, d = ngram_buckets(part, rel)
                 total[0] += np.bincount(b, minlength=BUCKETS).astype(np.int32)
                 labelled = kind[i:j][d] > 0
@@ -172,7 +174,7 @@ def score(docs: DataFrame, ratios, columns: list[str], text_col: str = "text",
         for batch in batches:
             data, offs = K.text_parts(batch.column(text_col))
             w = np.zeros(len(offs) - 1)
-            for i, j, part, rel in K.chunks(data, offs):
+            for i, j, part, rel in K.chunks(data, offs, TEXT_BYTES):
                 b, d = ngram_buckets(part, rel)
                 n = np.maximum(np.bincount(d, minlength=j - i), LEAST_GRAMS)
                 w[i:j] = PER * np.bincount(d, weights=table_[b], minlength=j - i) / n
