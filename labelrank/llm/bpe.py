@@ -25,7 +25,7 @@ from labelrank.llm.registry import register
 from labelrank.session import ship_package, table
 
 #: Texts of about so many characters share a dictionary; bounds a task's memory.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 
 
 @dataclass

@@ -7,6 +7,9 @@ probability about 1e-11 at 20,000 shingles).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,6 +19,21 @@ INV = pow(MULT, -1, 1 << 64)
 CHUNK = 1 << 21
 
 
+def tidy(task):
+    """A task over batches that gives its freed memory back when it ends: Python workers live on
+    between stages, and what they keep is missing in later stages that need none."""
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (every input bit reaches every output bit)."""
     x = x ^ (x >> U(30))

@@ -38,6 +38,8 @@ BLOCK, BLOCK_ELEMENTS = 1024, 2_000_000
 GROUP = 8192
 #: Bytes of text that a task works on at a time.
 TEXT_BYTES = 1 << 20
+#: Bytes of signatures in a part, about.
+PART_BYTES = 4 << 20
 #: Chance that an element of one set lies in an unrelated set, for the cost model only.
 CHANCE = 0.1
 
@@ -156,6 +158,7 @@ def _sets_of(batch, k):
 
 def shingle_sizes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, fp, sketch) of every row: distinct shingles, fingerprint (0: empty set) and parity sketch of the set."""
+    @K.tidy
     def run(batches):
         for batch in batches:
             n, fps, sketch = [], [], []
@@ -176,6 +179,7 @@ def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) ->
     (bucket, member) of buckets with three members or more.
 
     Signatures travel as packed blocks, one per task batch and part, and are sorted in numpy."""
+    @K.tidy
     def emit(batches):
         for batch in batches:
             sig = [signatures(flat, fo, fp, plan) for _, _, flat, fo, fp in _sets_of(batch, k)]
@@ -226,6 +230,7 @@ def plausible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
     """The pairs (a, b) that neither the sizes nor the parity sketches of their sets rule out."""
     left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             most = ((batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - percent)) // (100 + percent)
@@ -243,6 +248,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets = sets.select("fp", "n", "shingles")
     left, right = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             ok = []
@@ -405,13 +411,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship_package(spark)
     folder = scratch_path(spark, "jaccard-join")  # what only the search reads
     sizes = write_scratch(shingle_sizes(docs, k, id_col, text_col), "shingle-sizes")
-    found = sizes.select("n").filter("n > 0").agg(F.max("n")).first()[0] or 1
+    seen = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    found = seen["most"] or 1
     bands = bands_upto(found, percent)
     lows = ", ".join(f"{low}L" for low, _, _ in bands)
     band = F.expr(f"size(filter(array({lows}), x -> x <= n)) - 1")
     per_band = {r[0]: r[1] for r in sizes.filter("n > 0").groupBy(band.alias("band")).count().collect()}
     plan = plan_bands(per_band, found, percent)
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # about one signature per shingle; a part is sorted in memory, whatever the size of the table
+    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (seen["all"] or 0) * SIG.itemsize // PART_BYTES)
     members = write_scratch(bucket_members(docs, k, plan, parts, text_col), "buckets", folder)
     pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct(), "candidates", folder)
 
@@ -421,6 +429,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "wanted", folder)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @K.tidy
     def shingle_set(batches):
         for batch in batches:
             for _, _, flat, fo, fp in _sets_of(batch, k):

@@ -104,6 +104,7 @@ def _counts(rows: DataFrame) -> np.ndarray:
     most BUCKETS entries whatever the input."""
     width = -(-BUCKETS // SLICES)
 
+    @K.tidy
     def run(batches):
         total = np.zeros((len(TABLES), BUCKETS), np.int32)
         for batch in batches:
@@ -169,6 +170,7 @@ def score(docs: DataFrame, ratios, columns: list[str], text_col: str = "text",
     """(columns, log weight) of every row; rows without n-grams have weight 0."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
+    @K.tidy
     def run(batches):
         table_ = ratios.value
         for batch in batches:
