@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelrank.llm import kernels as K
 from labelrank.llm.registry import register
 from labelrank.session import ship_package, table
 
@@ -197,19 +198,22 @@ def encode_block(texts: list[str], vocab: Vocabulary, find) -> list[np.ndarray]:
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """``(<id_col>, n_tokens, ids)``: the whole text of each row as token ids, without special tokens.
 
     ``ids`` is binary: little-endian unsigned 32-bit integers.  Each match of ``pattern`` is
     encoded by itself.  Null and empty texts give no ids; repeated rows and null keys are kept as
-    they are; other columns are ignored; an empty table gives no rows."""
+    they are; other columns are ignored; an empty table gives no rows.  With ``decoded`` a column of
+    that name holds the bytes that the ids stand for, as :func:`bpe_decode` gives them, from the same task."""
     import regex
 
     ship_package(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, pattern))
 
+    @K.tidy
     def run(batches):
         find = regex.compile(vocab.value.pattern).findall
+        strings = {r: t for t, r in vocab.value.tokens.items()} if decoded else {}
         for batch in batches:
             texts, i = batch.column("text"), 0
             while i < len(texts):
@@ -219,17 +223,24 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     size += len(block[-1])
                     i += 1
                 ids = encode_block(block, vocab.value, find)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i - len(block), len(block)),
-                     pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "n_tokens", "ids"])
+                columns = {"id": batch.column("id").slice(i - len(block), len(block)),
+                           "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                           "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+                if decoded:
+                    columns[decoded] = pa.array([_bytes_of(x, strings) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return (src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
+    more = f", `{decoded}` binary" if decoded else ""
+    return (src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary{more}")
             .withColumnRenamed("id", id_col))
 
 
+def _bytes_of(ids: np.ndarray, strings: dict[int, bytes]) -> bytes:
+    return b"".join(map(strings.__getitem__, ids.tolist()))
+
+
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids of each row stand for; null ids count as none.
 
@@ -240,8 +251,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", name: str =
     def run(batches):
         strings = {r: t for t, r in vocab.value.tokens.items()}
         for batch in batches:
-            out = [b"".join(map(strings.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist()))
-                   for x in batch.column(ids_col)]
+            out = [_bytes_of(np.frombuffer(x.as_py() or b"", "<u4"), strings) for x in batch.column(ids_col)]
             yield batch.append_column(name, pa.array(out, pa.binary()))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -256,7 +266,7 @@ def tokenizer_defaults() -> tuple[str, str]:
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Encode, decode, and the digests of both."""
-    out = bpe_decode(bpe_encode(docs, path, pattern, id_col), path)
+    out = bpe_encode(docs, path, pattern, id_col, decoded="decoded")
     return out.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
