@@ -23,4 +23,5 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every catalog module so their queries register."""
     from labelrank.plans import (catalog_eval, catalog_text, catalog_sampling,  # noqa: F401
-                                 catalog_vectors, catalog_io, catalog_jobs, catalog_storage, catalog_deep)
+                                 catalog_vectors, catalog_io, catalog_jobs, catalog_storage, catalog_deep,
+                                 catalog_keyed)
