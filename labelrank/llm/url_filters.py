@@ -2,7 +2,8 @@
 
 List events (an entry is added or removed on a day) become validity intervals.  A capture has the
 keys under which an entry can name it: its host and every parent domain, and host plus every
-leading part of its path.  An as-of join finds, for each key and fetch day, the entries that were
+leading part of its path, of the depths that entries have.  So a very long address has as many
+keys as the lists have depths, not one per part.  An as-of join finds, for each key and fetch day, the entries that were
 active on that day, so a capture is judged by the lists as they were when it was fetched.  The
 most specific active entry decides; at equal keys ``allow`` wins over ``block``.
 
@@ -32,20 +33,31 @@ def url_host(url: Column) -> Column:
 def url_path(url: Column) -> Column:
     """Path without query and fragment, without a final slash."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(path, "/+$", "")
+    return F.rtrim(path, F.lit("/"))
 
 
-def url_keys(url: Column) -> Column:
-    """Keys of a capture, least specific first: parent domains, host, host with path parts."""
-    labels = F.split(url_host(url), r"\.", -1)
+def entry_depths(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """(numbers of labels of the entries without a path, numbers of path parts of the others), rising.
+
+    The entries of m different depths have m * (m - 1) / 2 characters at least, so these few numbers
+    grow with the root of the lists' size at most."""
+    slashes = F.length("entry") - F.length(F.replace("entry", F.lit("/"), F.lit("")))
+    labels = F.length("entry") - F.length(F.replace("entry", F.lit("."), F.lit(""))) + 1
+    found = entries.select((slashes > 0).alias("deep"), F.when(slashes > 0, slashes).otherwise(labels).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in found if not r["deep"]), sorted(r["n"] for r in found if r["deep"])
+
+
+def url_keys(url: Column, depths: tuple[list[int], list[int]]) -> Column:
+    """Keys of a capture of the given depths (see ``entry_depths``), least specific first: parent
+    domains, host, host with path parts."""
+    def up_to(numbers, most):
+        return F.filter(F.array(*map(F.lit, numbers)).cast("array<int>"), lambda i: i <= most)
+    host, labels = url_host(url), F.split(url_host(url), r"\.", -1)
     parts = F.split(url_path(url), "/", -1)  # the first part is empty
-    domains = F.transform(F.sequence(F.size(labels), F.lit(1), F.lit(-1)),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    deeper = F.when(F.size(parts) > 1, F.transform(
-        F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
-        lambda i: F.concat(url_host(url), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.when(url_host(url).isNotNull(), F.concat(domains, deeper))
+    domains = F.transform(up_to(depths[0], F.size(labels)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    deeper = F.transform(up_to(depths[1], F.size(parts) - 1),
+                         lambda i: F.concat(host, F.call_function("substring_index", url_path(url), F.lit("/"), i + 1)))
+    return F.when(host.isNotNull(), F.concat(domains, deeper))
 
 
 def validity_intervals(events: DataFrame) -> DataFrame:
@@ -68,15 +80,16 @@ def judge_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_i
 
     verdict is ``block`` or ``pass``; list and entry name the deciding entry (null: none active);
     n_active counts the active entries that name the capture.  Addresses that are null or without
-    a host, and null days, pass.  Repeated rows are judged alike; other columns are ignored;
+    a host, and null days, pass.  Repeated rows are judged alike, each in a row of its own; other columns are ignored;
     empty tables give no rows or no entries."""
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                            F.col(day_col).cast("date").alias("day"))
     # Captures of one address and day are one capture for the lists.
     asked = rows.select("url", "day").filter("url is not null and day is not null").distinct()
-    keys = asked.select("url", "day", F.posexplode(url_keys(F.col("url"))).alias("depth", "key"))
+    intervals = write_scratch(validity_intervals(events), "intervals")
+    keys = asked.select("url", "day", F.posexplode(url_keys(F.col("url"), entry_depths(intervals))).alias("depth", "key"))
     active = (keys.select("key", "day").distinct()
-              .join(validity_intervals(events), F.col("key") == F.col("entry"))
+              .join(intervals, F.col("key") == F.col("entry"))
               .filter("day >= since and (until is null or day < until)")
               .select("key", "day", "list"))
     active = write_scratch(active, "active-entries")
