@@ -20,6 +20,8 @@ from labelrank.session import table
 
 #: Broadcast a table only up to this many rows (8 to 24 bytes each); beyond it, shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bound of the characters of the item shingles, too, where they are broadcast.
+BROADCAST_CHARS = 64 << 20
 STRIP = r"[^\p{L}\p{N} \t\n\r]+"
 BLANK = r"[ \t\n\r]+"
 
@@ -68,9 +70,16 @@ def hash_limit(classes, percent: int, n_shingles: Column) -> Column:
 
 
 def shingles_in_reach(words: DataFrame, classes, k: int, percent: int) -> DataFrame:
-    """The columns of ``words`` with ``hash`` for every shingle that can meet a sketch."""
-    near = words.withColumn("limit", hash_limit(classes, percent, F.size("words") - k + 1)).filter("limit is not null")
-    return _explode_shingles(near, k).withColumn("hash", shingle_hash(k)).filter("hash <= limit").drop("limit")
+    """The columns of ``words`` with ``hash`` for every shingle that can meet a sketch.
+
+    Documents too short for every item explode to nothing; a filter on them would be moved below
+    the words and make them twice."""
+    n = F.size("words") - k + 1
+    limit = hash_limit(classes, percent, n)
+    near = words.withColumn("limit", F.when(n > 0, limit))
+    at = F.explode_outer(F.when(F.col("limit").isNotNull(), F.sequence(F.lit(0), F.size("words") - k)))
+    return (near.withColumn("at", at).withColumn("hash", shingle_hash(k))
+            .filter(F.coalesce(F.col("at").isNotNull() & (F.col("hash") <= F.col("limit")), F.lit(False))).drop("limit"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
@@ -102,12 +111,14 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
         .select("k1", "k2", "item").distinct(), "contained-candidates")
 
     few = candidates.count() <= BROADCAST_ROWS
+    held = shingles.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("shingle")), F.lit(0)).alias("chars")).first()
+    brief = F.broadcast if held["rows"] <= BROADCAST_ROWS and held["chars"] <= BROADCAST_CHARS else (lambda df: df)
     some = F.broadcast if few else (lambda df: df)
     texts = keyed.join(some(candidates.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")
     rows = (texts.dropDuplicates(["k1", "k2"]).select("k1", "k2", normal_words(F.col("text")).alias("words")))
     found = (_explode_shingles(rows, k)
              .select("k1", "k2", F.concat_ws(" ", *[_at(i) for i in range(k)]).alias("shingle"))
-             .join(small(shingles.select("item", "n", "shingle")), "shingle")
+             .join(brief(shingles.select("item", "n", "shingle")), "shingle")
              .join(candidates.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("item").alias("ci")),
                    (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("item").eqNullSafe(F.col("ci")),
                    "left_semi")

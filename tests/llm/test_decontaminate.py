@@ -74,3 +74,21 @@ def test_only_shingles_in_reach_of_a_class_are_joined(spark, monkeypatch):
     short, _ = frames(spark, [(4, " ".join(words[:11]))], [(0, "")])
     assert D.contained_items(short, b).collect() == []
     assert seen[0][1] == []
+
+
+def test_words_are_made_once(spark):
+    """The plan holds the regular expression once, however many size classes there are."""
+    d, _ = frames(spark, [(1, "a b c d e f g h")], [])
+    words = d.select("doc_id", D.normal_words(D.F.col("text")).alias("words"))
+    hits = D.shingles_in_reach(words, [(3, 10), (20, 99), (70, 500), (300, 9000)], 5, 80)
+    hits = hits.join(spark.range(9).select(D.F.col("id").alias("hash")), "hash")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(D.STRIP) == 1
+
+
+def test_item_shingles_have_their_own_bound(spark, monkeypatch):
+    d, b = frames(spark, [(1, "x a b c d e f y"), (2, "none of it here at all")], [(7, "a b c d e f")])
+    want = [(1, 7, 2, 2)]
+    assert [tuple(r) for r in D.contained_items(d, b).collect()] == want
+    monkeypatch.setattr(D, "BROADCAST_CHARS", 0)
+    assert [tuple(r) for r in D.contained_items(d, b).collect()] == want
