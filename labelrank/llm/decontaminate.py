@@ -64,9 +64,13 @@ def sketches(items: DataFrame, k: int, percent: int, item_col: str, text_col: st
 def hash_limit(classes, percent: int, n_shingles: Column) -> Column:
     """Largest hash at which a document of ``n_shingles`` can meet a sketch, from rows (least n,
     threshold) of the size classes; null where the document is too short for every item."""
-    fits = [F.when(n_shingles * 100 >= least * percent, F.lit(top)) for least, top in classes]
-    none = F.lit(None).cast("long")
-    return F.greatest(none, none, *fits)
+    # the limit rises with the document: one step for each class whose threshold passes those before
+    limit, top = F.lit(None).cast("long"), None
+    for least, threshold in sorted(classes):
+        if top is None or threshold > top:
+            top = threshold
+            limit = F.when(n_shingles >= -(-least * percent // 100), F.lit(top)).otherwise(limit)
+    return limit
 
 
 def shingles_in_reach(words: DataFrame, classes, k: int, percent: int) -> DataFrame:
