@@ -5,10 +5,10 @@ of the raw corpus (all documents).  A document's log weight is the mean, over it
 log ratio of the two models (per hundred n-grams).  Only ratios of a fifth or less count, of
 n-grams that labelled bad documents hold more often than chance explains: most n-grams of natural
 text are rare, and their ratios are noise.  Documents are sampled by Gumbel top-k: those with the
-largest (log weight / temperature + Gumbel noise).  For filtering, those documents are kept whose
-noisy key exceeds (cut / temperature), with the cut that separates held-out labelled rows best: k
-is whatever that gives.  A low temperature leaves the choice to the weights, and a weight of 0 (no
-n-gram counts against the document) above the cut is kept whatever its noise.
+largest (log weight / temperature + Gumbel noise).  For filtering, k is the number of documents whose
+weight exceeds the cut that separates held-out labelled rows best.  A low temperature, a twentieth
+of the cut at most, leaves the choice to the weights: a weight of 0 (no n-gram counts against the
+document) then lies 20 units of noise above the cut.
 
 N-grams: words (A-Z lower-cased), word beginnings of 4, 6 and 8 bytes, and triples of word shapes
 (class of the first and last byte, letter case, length, equal to the word before), so that
@@ -45,8 +45,8 @@ SHRINK, LEAST_G, MOST_RATIO = 0.5, 15.0, -1.6
 PER, LEAST_GRAMS = 100, 20
 #: What a share of good rows lost costs against a share of bad rows kept.
 GOOD_COST = 2
-#: Sampling temperature.
-TEMPERATURE = 0.02
+#: Sampling temperature, and units of noise between a weight of 0 and a cut below 0 at least.
+TEMPERATURE, MARGIN = 0.02, 20
 
 _CLASS = np.zeros(256, np.int64)          # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
@@ -199,9 +199,9 @@ def gumbel_top_k(scored: DataFrame, k: int, id_col: str, weight_col: str = "log_
     The k-th key is found by counting keys per bin in three rounds (at most 4096 counts each),
     so neither the rows nor the sample pass through one task."""
     keyed = scored.withColumn("gumbel_key", F.col(weight_col) / temperature + gumbel(F.col(id_col), seed))
-    keyed = write_scratch(keyed, "gumbel")
     if k <= 0:
         return keyed.limit(0)
+    keyed = write_scratch(keyed, "gumbel")
     lo, hi, n = keyed.agg(F.min("gumbel_key"), F.max("gumbel_key"), F.count("*")).first()
     if k >= n:
         return keyed
@@ -242,11 +242,13 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Labelled documents with quality 1 that are not toxic are the target.  Up to MAX_LABELLED
     labelled documents are used (by hash of the id): four fifths to fit the target model, one
-    fifth to choose the cut when ``k`` is not given.  The raw model counts all documents.
+    fifth to choose the cut when ``k`` is not given; ``k`` is then the number of rows whose weight
+    exceeds it.  The raw model counts all documents.
 
     Labels with a null id or quality are ignored; of several labels of an id the worst holds; a
-    null toxic label counts as not toxic.  Null and empty texts have weight 0.  Without ``k``, rows of
-    weight 0 are kept if the cut lies below 0.  Repeated rows are weighed alike.  Without labels of both kinds every row is kept; empty tables give no rows."""
+    null toxic label counts as not toxic.  Null and empty texts have weight 0.  Repeated rows are
+    weighed alike; without a given ``k``, rows that tie with the k-th key (rows of one id and weight)
+    are all kept.  Without labels of both kinds every row is kept; empty tables give no rows."""
     spark = docs.sparkSession
     ship_package(spark)
     lab = (labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
@@ -283,10 +285,17 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if report is not None:
             report.update(cut=cut, rows=len(held), good_kept=float((held[held[:, 1] == 1, 0] > cut).mean()),
                           bad_dropped=float((held[held[:, 1] == 0, 0] <= cut).mean()))
+        if cut < 0:
+            temperature = min(temperature, -cut / MARGIN)
+        # The draw works on ids and weights alone; the texts are read again for the rows drawn.
+        weights = write_scratch(score(full, ratios, ["__row_id"], seen), "weights")
+        k, n = weights.agg(F.count_if(F.col("log_weight") > cut), F.count("*")).first()
+        LOG.info("k is %s of %s rows", k, n)
+        if k == n:
+            return weighed.drop("__row_id")
+        edge = gumbel_top_k(weights, k, "__row_id", temperature=temperature).agg(F.min("gumbel_key")).first()[0]
         key = F.col("log_weight") / temperature + gumbel(F.col("__row_id"))
-        # The k of the top-k is the number of keys above the cut: the same rows.  No noise drops a clean text.
-        clean = (F.col("log_weight") >= 0) & (F.col("log_weight") > cut)
-        return weighed.filter((key > cut / temperature) | clean).drop("__row_id")
+        return weighed.filter(key >= (float("inf") if edge is None else edge)).drop("__row_id")
     return gumbel_top_k(weighed, k, "__row_id", temperature=temperature).drop("__row_id", "gumbel_key")
 
 

@@ -1,6 +1,12 @@
 """Quality classifier: held-out accuracy, Gumbel top-k, edge rows."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
+import xxhash
 
 from labelrank.llm import quality as Q
 
@@ -71,3 +77,85 @@ def test_weight_0_survives_a_cut_close_to_0(spark, monkeypatch, caplog):
     assert "cut -0.001" in caplog.text
     monkeypatch.setattr(Q, "best_cut", lambda weights, good: 0.5)
     assert Q.quality_sample(docs, labels).count() < 50
+
+
+def plain_grams(text):
+    """N-grams as strings and tuples, with no hashing."""
+    def kind(c):
+        marks = "!.,?|#$%&*"
+        return ("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9"
+                else c if c in marks else "other")
+    out, shapes, last = [], [], None
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        low, upper, size = word.lower(), sum("A" <= c <= "Z" for c in word), len(word)
+        out.append(("word", low))
+        out += [("begin", n, low[:n]) for n in (4, 6, 8) if size > n]
+        case = "none" if not upper else "most" if 2 * upper >= size else "some"
+        shapes.append((kind(word[0]), kind(word[-1]), case, sum(size > x for x in (2, 5, 10, 30)), low == last))
+        last = low
+    return out + [("shapes", *t) for t in zip(shapes, shapes[1:], shapes[2:])]
+
+
+def spark_hash(seed, i):
+    """xxhash64(seed, i) of an int or string and a long, in Python."""
+    first = seed.encode() if isinstance(seed, str) else seed.to_bytes(4, "little")
+    return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), xxhash.xxh64_intdigest(first, 42))
+
+
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_sample_against_plain_python(spark):
+    """Weights, cut, k and the draw from strings and sorted lists; nothing of the operator's own code."""
+    rng = random.Random(5)
+    good = [f"{a}{b}" for a in ("stone", "River", "cloud", "ash") for b in ("", "s", "like", "wards")]
+    bad = ["BUY!", "now!!", "FREE$$$", "click", "winner#1"]
+    docs, labels = [], []
+    for i in range(600):
+        share = rng.choice([0, 0, 0, 0, 0.02, 0.3, 0.8])
+        text = " ".join(rng.choice(bad if rng.random() < share else good) for _ in range(rng.randint(0, 90)))
+        docs.append((i, text))
+        if i % 2:
+            labels.append((i, int(share < 0.1), int(share == 0.3 and rng.random() < 0.5)))
+    target = {i: q == 1 and t == 0 for i, q, t in labels}
+    held = {i for i in target if signed(spark_hash("fold", i)) % 5 == 0}
+    raw, tgt, in_good, in_bad, grams = Counter(), Counter(), Counter(), Counter(), {}
+    for i, text in docs:
+        grams[i] = plain_grams(text)
+        raw.update(grams[i])
+        if i in target and i not in held:
+            (in_good if target[i] else in_bad).update(set(grams[i]))
+            if target[i]:
+                tgt.update(grams[i])
+    n_good = sum(target[i] for i in target if i not in held)
+    n_bad = len(target) - len(held) - n_good
+    ratio = {}
+    for g, n in raw.items():
+        b, a, share = in_bad[g], in_good[g], n_bad / (n_good + n_bad)
+        log = math.log((tgt[g] + 0.5) / (n * sum(tgt.values()) / sum(raw.values()) + 0.5))
+        chance = 2 * ((b * math.log(b / ((a + b) * share)) if b else 0)
+                      + (a * math.log(a / ((a + b) * (1 - share))) if a else 0))
+        if chance >= 15 and b > (a + b) * share and log <= -1.6:
+            ratio[g] = log
+    weight = {i: 100 * math.fsum(ratio.get(g, 0) for g in gs) / max(20, len(gs)) for i, gs in grams.items()}
+    values = sorted({weight[i] for i in held})
+    cuts = [values[0] - 1] + [(x + y) / 2 for x, y in zip(values, values[1:])]
+    ok, junk = [weight[i] for i in held if target[i]], [weight[i] for i in held if not target[i]]
+    gain = [2 * sum(w >= c for w in ok) / len(ok) + sum(w < c for w in junk) / len(junk) for c in cuts]
+    best = [c for c, x in zip(cuts, gain) if x >= max(gain) - 1e-12]
+    cut = best[len(best) // 2]
+    assert cut < 0 and ratio
+    k, temperature = sum(w > cut for w in weight.values()), min(0.02, -cut / 20)
+
+    def key(i):
+        u = (signed(spark_hash(42, i)) % (1 << 53) + 0.5) / (1 << 53)
+        return weight[i] / temperature - math.log(-math.log(u))
+    want = set(sorted(weight, key=key, reverse=True)[:k])
+    report = {}
+    got = Q.quality_sample(spark.createDataFrame(docs, "doc_id long, text string"),
+                           spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), report=report).collect()
+    assert abs(report["cut"] - cut) < 1e-6 and 0 < k < len(docs)
+    assert {r.doc_id for r in got} == want
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-6 for r in got)
+    assert all(i in want for i, w in weight.items() if w == 0)
