@@ -12,7 +12,7 @@ Built over whole documents the construction would take as many rounds, each rewr
 order, as the longest document has bytes; over aligned segments it takes 176.
 
 Equal segments collapse to their first occurrence before bytes are shipped, already in the map
-tasks.  Anchors that a large share of all documents holds (found in a bounded sample, which only
+tasks.  Anchors whose segments would fill a part of their own (estimated from a sample, which only
 chooses the route) are split by the hash of each of their 100-byte strings instead.
 """
 
@@ -31,8 +31,10 @@ from labelrank.session import ship_package, table
 U = np.uint64
 GRAM = 24
 PAD = 0xFF  # never a byte of UTF-8 text
-#: Estimated distinct segments from which an anchor is split, and the documents sampled for it.
-HOT, SAMPLE = 500_000, 200_000
+#: Estimated occurrences from which an anchor is split: so many segments of 176 bytes fill a part.
+HOT = 95_000
+#: Bytes of text sampled for the estimate at least, and occurrences that it rests on at least.
+SAMPLE_BYTES, LEAST = 256 << 20, 100
 _BYTE = K.mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 ANCHOR = [("anchor", "<u8"), ("seg", "<u8"), ("uid", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1")]
 WINDOW = [("hash", "<u8"), ("uid", "<i8"), ("pos", "<i4")]
@@ -310,20 +312,25 @@ def _with_uid(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, b
             .select("uid", "id", "text")), False
 
 
-def _hot_anchors(docs: DataFrame, length: int, n_docs: int) -> np.ndarray:
-    """Anchors with an estimated HOT occurrences or more; the sample decides only their route."""
-    share = min(1.0, SAMPLE / max(1, n_docs))
+def _hot_anchors(texts: DataFrame, length: int, n_bytes: int) -> np.ndarray:
+    """Anchors with an estimated HOT occurrences or more; the sample decides only their route.
+
+    Every occurrence in the sampled texts counts.  The sample is of SAMPLE_BYTES, or larger where HOT
+    occurrences would leave fewer than LEAST in it; so the result has at most its anchors / LEAST
+    entries, whatever the input."""
+    if n_bytes < HOT:  # fewer places than that
+        return np.zeros(0, U)
+    share = min(1.0, max(SAMPLE_BYTES / n_bytes, LEAST / HOT))
 
     def run(batches):
         for batch in batches:
             data, offs = K.text_parts(batch.column("text"))
             for _, _, part, rel in K.chunks(data, offs):
-                _, _, h, at, doc = anchors(part, rel, length)
+                _, _, h, at, _ = anchors(part, rel, length)
                 a, n = np.unique(h[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)[n > 1]), pa.array(n[n > 1])], ["a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
 
-    rows = (docs.sample(share, seed=7).select("text").mapInArrow(run, "a long, n long")
+    rows = ((texts if share == 1 else texts.sample(share, seed=7)).mapInArrow(run, "a long, n long")
             .groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= share * HOT).select("a"))
     return np.array([r[0] for r in rows.collect()], np.int64).view(U)
 
@@ -348,9 +355,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship_package(spark)
     source, unique = _with_uid(docs, id_col, text_col)
-    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+    plain = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n_bytes = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = _parts(spark, n_bytes)
-    hot = _hot_anchors(source, length, n_docs) if n_docs >= HOT else np.zeros(0, U)
+    hot = _hot_anchors(plain, length, n_bytes)
     texts = source.select("uid", "text")
     one_each = texts if unique else texts.dropDuplicates(["uid"])
     schema = "kind int, uid long, blob binary"

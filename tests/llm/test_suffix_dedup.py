@@ -102,3 +102,43 @@ def test_parts_follow_the_segments(spark, monkeypatch):
     assert run(spark, rows) == want
     few, many = dealt
     assert few == max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) and many > few
+
+
+def test_hot_anchors_that_every_task_meets_once(spark, monkeypatch):
+    """An anchor found once per batch everywhere is split, on a table of any number of rows."""
+    rng = np.random.default_rng(8)
+
+    def noise(n):
+        return bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, twice = noise(130), noise(150)
+    rows = [(i, noise(60) + passage + noise(40) + (twice if i % 100 == 0 else "")) for i in range(300)]
+    rows.append((300, " ".join(noise(30) + passage for _ in range(100))))  # and a long text
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "HOT", 250)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        n_bytes = sum(len(t) for _, t in rows)
+        hot = S._hot_anchors(df.select("text"), 100, n_bytes)
+        assert 0 < len(hot) < 40  # those of the passage alone
+        assert len(S._hot_anchors(df.filter("doc_id < 200").select("text"), 100, n_bytes)) == 0
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.kept) for r in S.remove_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_marks(rows)
+
+
+def brute_marks(rows, length=100):
+    """(bytes removed, spans, kept bytes) by id, by a dictionary of all strings."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = text.encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for p in range(len(data) - length + 1):
+            piece = data[p:p + length]
+            if piece in seen:
+                gone[p:p + length] = True
+            seen.add(piece)
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        out[i] = int(gone.sum()), spans, bytes(b for b, g in zip(data, gone) if not g)
+    return out
