@@ -213,16 +213,19 @@ def _whole(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
 
     sized = sized.mapInArrow(number, "file string, split long, piece binary, n long")
 
-    def offsets(t):
-        t = t.sort_by([("split", "ascending"), ("n", "ascending")])
+    def owners(t, spans):
+        """The record of every piece of one file, by binary search among the records' offsets."""
+        t, spans = t.sort_by([("split", "ascending"), ("n", "ascending")]), spans.sort_by("start")
         begin = np.concatenate([[0], np.cumsum(t.column("size").to_numpy() + len(MAGIC))])[:-1]
-        return t.append_column("begin", pa.array(begin)).select(["file", "split", "n", "begin"])
-
-    places = (sized.select("file", "split", "n", F.octet_length("piece").cast("long").alias("size"))
-              .groupBy("file").applyInArrow(offsets, "file string, split long, n long, begin long"))
-    spans = parts.select(F.col("file").alias("f"), "start", "after")
-    owned = (places.join(spans, (F.col("file") == F.col("f")) & (F.col("begin") > F.col("start"))
-                         & (F.col("begin") <= F.col("after"))).drop("f"))
+        start, after = spans.column("start").to_numpy(), spans.column("after").to_numpy()
+        at = np.searchsorted(start, begin) - 1  # the last record that starts before
+        held = np.flatnonzero((at >= 0) & (begin <= after[at])) if len(start) else np.zeros(0, np.int64)
+        return (t.take(pa.array(held)).select(["file", "split", "n"])
+                .append_column("begin", pa.array(begin[held])).append_column("start", pa.array(start[at[held]])))
+
+    places = sized.select("file", "split", "n", F.octet_length("piece").cast("long").alias("size"))
+    owned = (places.groupBy("file").cogroup(parts.select("file", "start", "after").groupBy("file"))
+             .applyInArrow(owners, "file string, split long, n long, begin long, start long"))
     joined = (sized.join(owned, ["file", "split", "n"]).groupBy("file", "start")
               .agg(F.array_sort(F.collect_list(F.struct("begin", "piece"))).alias("pieces")))
 

@@ -31,6 +31,21 @@ def test_round_trip_with_magic_inside(spark, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
 
 
+def test_many_magics_in_one_archive(spark):
+    """2,000 magics in one payload, and 1,000 payloads with one each, in one file cut into splits."""
+    rows = [(0, "u", "".join(f"{i}WARC/1.0\r\n" for i in range(2000)), "d", 1)]
+    rows += [(i, "u", f"page {i} {FAKE}", "d", 1) for i in range(1, 1001)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, top long")
+        path = scratch_path(spark, "warc-test")
+        warc.write_warc(df.coalesce(1), path)
+        got = warc.read_warc(spark, path).select("page_id", "payload_bytes", "record_type").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+    assert sorted(map(tuple, got)) == [(i, len(t.encode()), "response") for i, _, t, _, _ in rows]
+
+
 def test_ties_and_nulls(spark):
     got = round_trip(spark, [(None, None, "a", "", 0), (4, None, "a", "", 0), (4, None, "a", "", 0), (None, "u", "b", "", 0)])
     rows = sorted(((r.page_id, r.record_type, r.refers_to) for r in got.collect()), key=repr)
