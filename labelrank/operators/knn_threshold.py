@@ -13,29 +13,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelrank.operators.knn import _block_counts, _sound
+from labelrank.operators.knn import (_block_counts, found_rows, gathered, matrix, passage_block_rows, plain, query_block_rows,
+                                     running_top, sorted_block)
 from labelrank.operators.ranking import rank_by_score
 from labelrank.session import ship_package
 
 
-def _tiles(qm: np.ndarray, pm: np.ndarray, tile_bytes: int):
-    """(first query row, scores) of the product, some query rows at a time."""
-    rows = max(1, tile_bytes // (8 * len(pm)))
-    for start in range(0, len(qm), rows):
-        yield start, qm[start:start + rows] @ pm.T
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
-
-
 def threshold_candidates(queries: DataFrame, passages: DataFrame, k: int, *, q_id: str = "qid", p_id: str = "pid",
                          vec: str = "embedding", passage_blocks: int | None = None, query_blocks: int | None = None,
-                         probe: int | None = None, block_bytes: int = 256 << 20, tile_bytes: int = 64 << 20) -> DataFrame:
+                         probe: int | None = None, block_bytes: int = 176 << 20, work_bytes: int = 192 << 20,
+                         tile_bytes: int = 64 << 20) -> DataFrame:
     """(q_id, p_id, score): a superset of every query's ``k`` best passages, ties of the k-th included
     up to k a block.
 
@@ -45,15 +36,17 @@ def threshold_candidates(queries: DataFrame, passages: DataFrame, k: int, *, q_i
     by the largest rounding error that the vectors' norms allow."""
     spark = queries.sparkSession
     ship_package(spark)
-    q = queries.select(F.col(q_id).alias("__q"), _sound(F.col(vec)).alias("__qv"))
-    p = passages.select(F.col(p_id).alias("__p"), _sound(F.col(vec)).alias("__pv"))
+    q = queries.select(F.col(q_id).alias("__q"), plain(F.col(vec), queries.schema[vec].dataType).alias("__qv"))
+    p = passages.select(F.col(p_id).alias("__p"), plain(F.col(vec), passages.schema[vec].dataType).alias("__pv"))
     q_type, p_type = q.schema["__q"].dataType.simpleString(), p.schema["__p"].dataType.simpleString()
     nq, np_ = queries.count(), passages.count()
     if nq == 0 or np_ == 0:
         return spark.createDataFrame([], f"{q_id} {q_type}, {p_id} {p_type}, score double")
     dim = max(1, p.select(F.size("__pv")).first()[0])
-    qb, pb = _block_counts(nq, np_, max(256, block_bytes // (32 * dim)), max(1024, block_bytes // (8 * dim)),
-                           spark.sparkContext.defaultParallelism, k, dim)
+    p_rows = passage_block_rows(k, dim, block_bytes)
+    # either round keeps a running best and sends it, 2k at most: that sizes the query block
+    q_rows = query_block_rows(min(2 * k, p_rows, np_), dim, work_bytes)
+    qb, pb = _block_counts(nq, np_, q_rows, p_rows, spark.sparkContext.defaultParallelism, k, dim)
     qb, pb = query_blocks or qb, passage_blocks or pb
     few = min(k, probe or 2 * math.ceil(k / pb))
 
@@ -64,40 +57,35 @@ def threshold_candidates(queries: DataFrame, passages: DataFrame, k: int, *, q_i
         return df.withColumn("qb", F.pmod(F.xxhash64("__q"), F.lit(qb))).withColumn("pb", blocks(pb))
     p_rep = p.withColumn("pb", F.pmod(F.xxhash64("__p"), F.lit(pb))).withColumn("qb", blocks(qb)).groupBy("qb", "pb")
 
-    def best_scores(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qdf) == 0 or len(pdf) == 0:
-            return pd.DataFrame({"__q": qdf["__q"].iloc[:0], "slack": np.zeros(0), "best": []})
-        qm, pm = _matrix(qdf["__qv"]), _matrix(pdf["__pv"])
-        take = min(few, len(pm))
-        best = [s for _, t in _tiles(qm, pm, tile_bytes) for s in np.partition(t, t.shape[1] - take, axis=1)[:, -take:]]
+    def best_scores(qt: pa.Table, pt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or pt.num_rows == 0:
+            return pa.table([qt["__q"].slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.list_(pa.float64()))],
+                            names=["__q", "slack", "best"])
+        qm, pm = matrix(qt["__qv"]).astype(np.float64), matrix(pt["__pv"])
+        best, _, n = running_top(qm, pm, few, tile_bytes)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(best[np.arange(best.shape[1]) < n[:, None]]))
         # dim * eps * |q| * |p| bounds the error of a product summed in any order
-        slack = 2 * dim * np.finfo(np.float64).eps * np.linalg.norm(qm, axis=1) * np.linalg.norm(pm, axis=1).max()
-        return pd.DataFrame({"__q": qdf["__q"].to_numpy(), "slack": slack, "best": best})
-
-    def reaching(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qdf) == 0 or len(pdf) == 0:
-            return pd.DataFrame({"__q": qdf["__q"].iloc[:0], "__p": pdf["__p"].iloc[:0], "score": np.zeros(0)})
-        pdf = pdf.sort_values("__p", kind="stable")  # equal scores then go by id
-        qm, pm, pids, qids = _matrix(qdf["__qv"]), _matrix(pdf["__pv"]), pdf["__p"].to_numpy(), qdf["__q"].to_numpy()
-        bound = qdf["bound"].fillna(-np.inf).to_numpy(dtype=np.float64)
-        take, out = min(k, len(pm)), []
-        for start, s in _tiles(qm, pm, tile_bytes):
-            kth = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take, None]
-            tied = s == kth
-            room = take - (s > kth).sum(axis=1, keepdims=True)
-            keep = ((s > kth) | (tied & (np.cumsum(tied, axis=1) <= room))) & (s >= bound[start:start + len(s), None])
-            rows, cols = np.nonzero(keep)
-            out.append((qids[start + rows], pids[cols], s[rows, cols]))
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("__q", "__p", "score"))})
+        longest = math.sqrt(np.einsum("ij,ij->i", pm, pm, dtype=np.float64).max())
+        slack = 2 * dim * np.finfo(np.float64).eps * np.linalg.norm(qm, axis=1) * longest
+        return pa.table([qt["__q"], pa.array(slack), lists], names=["__q", "slack", "best"])
+
+    def reaching(qt: pa.Table, pt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or pt.num_rows == 0:
+            return found_rows(qt["__q"].slice(0, 0), pt["__p"].slice(0, 0), np.zeros(0))
+        pm, pids = sorted_block(pt)
+        bound = qt["bound"].fill_null(-np.inf).to_numpy()
+        best, at, n = running_top(matrix(qt["__qv"]).astype(np.float64), pm, k, tile_bytes, bound)
+        return gathered(qt["__q"], pids, best, at, n)
 
     # a query's list holds probe * pb numbers, about 2k by default
     scores = (dealt(q).groupBy("qb", "pb").cogroup(p_rep)
-              .applyInPandas(best_scores, f"__q {q_type}, slack double, best array<double>"))
+              .applyInArrow(best_scores, f"__q {q_type}, slack double, best array<double>"))
     kth = F.get(F.sort_array(F.flatten(F.collect_list("best")), asc=False), F.lit(k - 1))
     bounds = scores.groupBy("__q").agg((kth - 2 * F.max("slack")).alias("bound"))
     asked = q.join(bounds.withColumnRenamed("__q", "__b"), F.col("__q").eqNullSafe(F.col("__b")), "left").drop("__b")
     return (dealt(asked).groupBy("qb", "pb").cogroup(p_rep)
-            .applyInPandas(reaching, f"__q {q_type}, __p {p_type}, score double")
+            .applyInArrow(reaching, f"__q {q_type}, __p {p_type}, score double")
             .select(F.col("__q").alias(q_id), F.col("__p").alias(p_id), "score"))
 
 
