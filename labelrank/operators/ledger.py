@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelrank.models import instance
-from labelrank.session import ship_package
+from labelrank.session import arrow_rows, ship_package
 from labelrank.sources.storage import file_system
 
 SCHEMA = "key string, reply string, error string"
 _ARROW = pa.schema([("key", pa.string()), ("reply", pa.string()), ("error", pa.string())])
 #: Replies of one file: what a task that dies can lose at most, besides those on the way.
 FLUSH_ROWS = 256
+#: Prompts that a worker gets at once, at least; a prompt with its passages is long.
+PROMPT_ROWS = 64
 
 
 class UnansweredPrompts(RuntimeError):
@@ -93,7 +95,8 @@ def answer_into(pending: DataFrame, factory: Callable, path: str, flush_rows: in
                 failed = table.column("error").length() - table.column("error").null_count
                 yield pd.DataFrame({"answered": [table.num_rows - failed], "failed": [failed]})
 
-    sums = pending.mapInPandas(send, "answered long, failed long").agg(F.sum("answered").alias("a"), F.sum("failed").alias("f")).first()
+    with arrow_rows(pending.sparkSession, max(flush_rows, PROMPT_ROWS)):  # prompts are long: a worker holds few
+        sums = pending.mapInPandas(send, "answered long, failed long").agg(F.sum("answered").alias("a"), F.sum("failed").alias("f")).first()
     return sums.a or 0, sums.f or 0
 
 

@@ -20,11 +20,11 @@ from labelrank.models import generate_in_pandas
 from labelrank.operators import sampling as S
 from labelrank.operators.lookup import attach_passages, attach_teacher_scores
 from labelrank.operators.knn import knn_exact
-from labelrank.operators.ledger import generate_with_ledger
+from labelrank.operators.ledger import PROMPT_ROWS, generate_with_ledger
 from labelrank.operators.metrics import TREC_CLI_CUTOFFS, eval_msmarco, eval_trec
 from labelrank.operators.ranking import assign_batches, train_order
 from labelrank.operators.vectors import pad_batch, tokenize_corpus, truncate_tokens
-from labelrank.session import ship_package
+from labelrank.session import arrow_rows, ship_package
 from labelrank.sources import files as io
 
 
@@ -44,7 +44,8 @@ def batch_generate(df: DataFrame, factory: Callable, out_col: str, keep: list[st
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     out = src.mapInPandas(lambda it: generate_in_pandas(it, factory, out_col, keep), f"{fields}, `{out_col}` string")
     if materialize:
-        out.write.mode("overwrite").parquet(materialize)
+        with arrow_rows(out.sparkSession, PROMPT_ROWS):
+            out.write.mode("overwrite").parquet(materialize)
         return out.sparkSession.read.parquet(materialize)
     return out
 
