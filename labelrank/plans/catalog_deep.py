@@ -21,7 +21,7 @@ from labelrank.plans.catalog_vectors import bow_ctes
 from labelrank.plans.oracle import sql
 from labelrank.plans.registry import register
 from labelrank.plans.rerank import rerank_windows, window_starts
-from labelrank.session import scratch_path
+from labelrank.session import scratch_path, write_once
 
 #: The hits that a reply may move; those before and behind stay.
 CUT_START, CUT_END = 10, 100
@@ -111,7 +111,8 @@ STARTS = window_starts(DEPTH, WINDOW, STEP)
                    f"h[start + {WINDOW} + 1:]), round + 1 FROM rounds JOIN turns USING (round)")]).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_rerank_windows(spark, sf):
     """Every candidate list re-ranked by windows of 8 hits, 4 apart, from the last hits to the first."""
-    lists = J.formatted(fx.fx_candidate_lists(spark, sf)).select("query_id", "query", "passages_ids", J._truncated())
+    lists = write_once(J.formatted(fx.fx_candidate_lists(spark, sf)).select("query_id", "query", "passages_ids", J._truncated()),
+                       "rerank-lists")
     z = F.posexplode(F.arrays_zip(F.col("passages_ids").alias("pid"), F.col("passages_trunc").alias("passage"))).alias("slot", "z")
     hits = lists.select(F.col("query_id").alias("qid"), z).select("qid", F.col("slot").cast("bigint").alias("slot"), "z.pid", "z.passage")
     queries = lists.select(F.col("query_id").alias("qid"), "query")

@@ -41,6 +41,7 @@ def rerank_windows(hits: DataFrame, queries: DataFrame, factory: Callable, depth
     one row.  With ``ledger`` a restart sends only windows that have no reply yet."""
     messages = messages or (lambda query, passages: P.utility_ranking_messages(query, passages, F.lit("")))
     texts = write_once(queries.groupBy("qid").agg(F.max("query").alias("query")), "rerank-queries")
+    hits = write_once(hits, "rerank-hits")  # every round reads some of them
     carried, final, above = None, [hits.filter(F.col("slot") >= depth)], depth
     for start in window_starts(depth, window, step):
         end = min(start + window, depth)
