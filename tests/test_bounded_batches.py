@@ -9,6 +9,7 @@ import pytest
 from labelrank.operators import metrics as M
 from labelrank.operators.ledger import generate_with_ledger
 from labelrank.plans import jobs as J
+from labelrank.plans.rerank import rerank_windows
 from labelrank.session import scratch_path
 from labelrank.sources import files as io
 
@@ -67,3 +68,23 @@ def test_few_and_many_judgements_score_alike(spark, monkeypatch):
     few = sorted(map(tuple, M.eval_trec(run, qrels).collect()))
     monkeypatch.setattr(M, "BROADCAST_PAIRS", 0)
     assert sorted(map(tuple, M.eval_trec(run, qrels).collect())) == few
+
+
+class AsGiven:
+    def generate(self, batch):
+        return pd.Series(["[1]"] * len(batch), index=batch.index)
+
+
+def test_hits_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+    hits = spark.range(0, 60).selectExpr("id div 30 AS qid", "id % 30 AS slot", "id AS pid", "concat('p', id) AS passage").mapInPandas(
+        count, "qid long, slot long, pid long, passage string")
+    queries = spark.createDataFrame([(0, "a"), (1, "b")], "qid long, query string")
+    out = rerank_windows(hits, queries, AsGiven, 30, 10, 5).collect()
+    assert sorted((r.qid, r.slot, r.pid) for r in out) == [(i // 30, i % 30, i) for i in range(60)]
+    assert made.value == 60
