@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelrank.functions.text import py_strip
+from labelrank.functions.text import PY_WHITESPACE, py_strip
 
 PASSAGE = T.StructType([T.StructField("docid", T.StringType()), T.StructField("title", T.StringType()),
                         T.StructField("text", T.StringType())])
@@ -39,6 +39,17 @@ def _checked(df: DataFrame, ok: F.Column, what: str) -> DataFrame:
     return df.filter(good)
 
 
+def _fields(lines: DataFrame, sep: str) -> DataFrame:
+    """``lines`` with ``__f``, the fields of the stripped line.
+
+    The fields are an exploded list of one element: a plain column would be put into every filter and
+    column that uses it, and each of them would strip and split the line again.  Only a line with white
+    space at an end goes through the pattern."""
+    ends = F.concat(F.substring("value", 1, 1), F.substring("value", -1, 1))
+    line = F.when(ends.rlike(PY_WHITESPACE), py_strip("value")).otherwise(F.col("value"))
+    return lines.withColumn("__f", F.explode(F.array(F.split(line, sep, -1))))
+
+
 def line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """Dense 0-based line numbers in file order (files by path, then position).
 
@@ -108,8 +119,8 @@ def _int(c):
 
 def read_qrels(spark: SparkSession, path) -> DataFrame:
     """Two-column qrels ``qid \\t pid`` (ints, qid repeats); a malformed line fails the job."""
-    df = read_lines(spark, path)
-    f = F.split(py_strip("value"), "\t", -1)
+    df = _fields(read_lines(spark, path), "\t")
+    f = F.col("__f")
     q, p = _int(F.get(f, 0)), _int(F.get(f, 1))
     return df.select(F.when(q.isNull() | p.isNull(), _fail("qrels", F.col("value"))).otherwise(q).alias("qid"),
                      p.alias("pid"))
@@ -119,8 +130,8 @@ def read_qrels_trec(spark: SparkSession, path, min_rel: int | None = None) -> Da
     """``qid Q0 docid rel`` (space separated) -> (qid, docid, rel).  By default every
     judged row is kept (grade 0 included, as the reference writes them); ``min_rel``
     keeps grades >= it."""
-    df = read_lines(spark, path)
-    f = F.split(py_strip("value"), " ", -1)
+    df = _fields(read_lines(spark, path), " ")
+    f = F.col("__f")
     df = _checked(df, (F.size(f) >= 4) & _int(F.get(f, 3)).isNotNull(), "TREC qrels")
     out = df.select(F.get(f, 0).alias("qid"), F.get(f, 2).alias("docid"), _int(F.get(f, 3)).cast("int").alias("rel"))
     return out if min_rel is None else out.filter(F.col("rel") >= min_rel)
@@ -170,7 +181,8 @@ def read_teacher_scores(spark: SparkSession, paths: list[str] | str) -> DataFram
     df = parts[0]
     for d in parts[1:]:
         df = df.unionByName(d)
-    f = F.split(py_strip("value"), r"\s+", -1)
+    df = _fields(df, r"\s+")
+    f = F.col("__f")
     score = F.regexp_replace(F.get(f, 2), r"^[\[\]]+|[\[\]]+$", "").try_cast("double")
     rows = df.select(F.get(f, 0).alias("qid"), F.get(f, 1).alias("did"),
                      F.when(score.isNull() | (F.size(f) != 3), _fail("teacher score", F.col("value"))).otherwise(score).alias("score"),
@@ -181,8 +193,8 @@ def read_teacher_scores(spark: SparkSession, paths: list[str] | str) -> DataFram
 def read_run(spark: SparkSession, path, max_rank: int = 1000) -> DataFrame:
     """``qid \\t pid \\t rank [\\t score]``; the last line of a (qid, rank) wins; ranks
     outside 1..max_rank or malformed lines fail the job."""
-    df = read_lines(spark, path, numbered=True)
-    f = F.split(py_strip("value"), "\t", -1)
+    df = _fields(read_lines(spark, path, numbered=True), "\t")
+    f = F.col("__f")
     q, p, r = _int(F.get(f, 0)), _int(F.get(f, 1)), _int(F.get(f, 2))
     bad = q.isNull() | p.isNull() | r.isNull() | (r < 1) | (r > max_rank)
     rows = df.select(F.when(bad, _fail("run", F.col("value"))).otherwise(q).alias("qid"), p.alias("pid"),
@@ -194,8 +206,8 @@ def read_run(spark: SparkSession, path, max_rank: int = 1000) -> DataFrame:
 
 def read_run_trec(spark: SparkSession, path) -> DataFrame:
     """``qid Q0 docid rank score tag`` -> (qid, docid, rank, score)."""
-    df = read_lines(spark, path)
-    f = F.split(py_strip("value"), r"\s+", -1)
+    df = _fields(read_lines(spark, path), r"\s+")
+    f = F.col("__f")
     df = _checked(df, (F.size(f) == 6) & _int(F.get(f, 3)).isNotNull() & F.get(f, 4).try_cast("double").isNotNull(),
                   "TREC run")
     return df.select(F.get(f, 0).alias("qid"), F.get(f, 2).alias("docid"), _int(F.get(f, 3)).alias("rank"),
@@ -204,8 +216,8 @@ def read_run_trec(spark: SparkSession, path) -> DataFrame:
 
 def read_id_map(spark: SparkSession, path, reverse: bool = False) -> DataFrame:
     """``id \\t offset`` (or ``offset \\t id`` with ``reverse``) -> (id, offset)."""
-    df = read_lines(spark, path)
-    f = F.split(py_strip("value"), "\t", -1)
+    df = _fields(read_lines(spark, path), "\t")
+    f = F.col("__f")
     a, b = (1, 0) if reverse else (0, 1)
     df = _checked(df, (F.size(f) == 2) & _int(F.get(f, b)).isNotNull(), "id map")
     return df.select(F.get(f, a).alias("id"), _int(F.get(f, b)).alias("offset"))
