@@ -84,8 +84,9 @@ def q_retrieve_ranking(spark, sf):
 def q_apply_permutation_cut(spark, sf):
     """Whole runs; replies name three quarters of the hits 10 to 99 in descending order of id, and two
     numbers out of range.  Hits outside the cut stay."""
-    hits = fx.fx_run(spark, sf).select("qid", (F.col("rank") - 1).cast("bigint").alias("slot"), "pid",
-                                       F.col("rank").cast("bigint").alias("rank"), "score")
+    # the replies and the cut read the hits several times, each with its own filter: the search runs once
+    hits = write_once(fx.fx_run(spark, sf).select("qid", (F.col("rank") - 1).cast("bigint").alias("slot"), "pid",
+                                                  F.col("rank").cast("bigint").alias("rank"), "score"), "cut-hits")
     x = F.col("slot") - CUT_START
     named = hits.filter((x >= 0) & (F.col("slot") < CUT_END) & (x % 4 != 1))
     order = F.array_sort(F.collect_list(F.struct((-F.col("pid")).alias("k"), (x + 1).alias("number"))))

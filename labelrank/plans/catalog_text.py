@@ -13,6 +13,7 @@ from labelrank.operators.ranking import global_index
 from labelrank.plans import fixtures as fx
 from labelrank.plans.oracle import sql
 from labelrank.plans.registry import register
+from labelrank.session import write_once
 
 STRIP = T.STRIP_PATTERN.replace("'", "''")
 
@@ -284,7 +285,7 @@ PERM_DEPTH = 20
 
 
 def perm_inputs(spark, sf):
-    run = fx.fx_run(spark, sf, PERM_DEPTH)
+    run = write_once(fx.fx_run(spark, sf, PERM_DEPTH), "permutation-run")  # read several times, searched once
     hits = run.select("qid", (F.col("rank") - 1).cast("bigint").alias("slot"), "pid",
                       F.col("rank").cast("bigint").alias("rank"), "score")
     g = run.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("pid")).alias("k"), F.col("rank")))).alias("s"))
