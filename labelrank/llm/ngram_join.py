@@ -8,6 +8,9 @@ deletions) add up to H + 1.  How many segments get weight 2 is decided per band
 signatures against the cost of chance candidates (:func:`plan_bands`).  Candidates are verified
 by exact intersection of the shingle sets.
 
+A bucket knows its members by 31 bits of their fingerprint; the fingerprints come back when the
+sizes and sketches of candidates are joined.
+
 Skew and size: equal sets collapse to one fingerprint first, so copies never meet each other.
 A bucket of a signature gives links to its first member only (linear).  What is still in
 different components afterwards is verified in bounded blocks of a bucket, inside tasks; only
@@ -20,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelrank.llm import kernels as K
@@ -39,7 +42,10 @@ GROUP = 8192
 #: Bytes of text that a task works on at a time.
 TEXT_BYTES = 1 << 20
 #: Bytes of signatures in a part, about.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
+#: A signature travels as one word: the low half of its key and the short fingerprint (31 bits, and
+#: the bit of a whole subset).  Sets that share one by chance only become candidates of each other.
+WORD_BYTES, LOW = 8, U(0xFFFFFFFF)
 #: Chance that an element of one set lies in an unrelated set, for the cost model only.
 CHANCE = 0.1
 
@@ -174,9 +180,19 @@ def shingle_sizes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n long, fp long, sketch binary")
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """Signatures as words, see WORD_BYTES."""
+    return (sig["key"] << U(32)) | (sig["fp"] >> U(33) << U(1)) | (sig["fp"] & U(1))
+
+
+def short(fp="fp") -> Column:
+    """The short fingerprint under which a set is a member of buckets."""
+    return F.shiftrightunsigned(fp, 33) * 2 + 1
+
+
 def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) -> DataFrame:
     """Rows (kind, a, b): kind 0, candidate (first member, other member) of a bucket; kind 1,
-    (bucket, member) of buckets with three members or more.
+    (bucket, member) of buckets with three members or more.  Members are short fingerprints.
 
     Signatures travel as packed blocks, one per task batch and part, and are sorted in numpy."""
     @K.tidy
@@ -190,13 +206,13 @@ def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) ->
             order = np.argsort(part, kind="stable")
             offs = np.searchsorted(part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(offs))
-            blobs = K.binary_column(sig[order], np.append(offs[:-1][full], offs[-1]))
+            blobs = K.binary_column(packed(sig[order]), np.append(offs[:-1][full], offs[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blobs], ["part", "blob"])
 
     def gather(t: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x.as_py(), SIG) for c in t.column("blob").chunks for x in c])
-        order = np.lexsort((sig["fp"], sig["key"]))
-        key, fp = sig["key"][order], sig["fp"][order]
+        word = np.concatenate([np.frombuffer(x.as_py(), U) for c in t.column("blob").chunks for x in c])
+        word.sort()
+        key, fp = word >> U(32), word & LOW
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         whole = np.repeat(np.add.reduceat((fp & U(1)).astype(np.int64), run) > 0, np.diff(np.append(run, len(key))))
         key, fp = key[whole], fp[whole] | U(1)
@@ -227,8 +243,10 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def plausible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that neither the sizes nor the parity sketches of their sets rule out."""
-    left, right = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+    """The pairs (a, b) of sets whose short fingerprints are in ``pairs`` and that neither the sizes
+    nor the parity sketches rule out; two sets of one short fingerprint come once."""
+    left = sketches.toDF("a", "na", "sa").withColumn("ka", short("a"))
+    right = sketches.toDF("b", "nb", "sb").withColumn("kb", short("b"))
 
     @K.tidy
     def run(batches):
@@ -238,7 +256,7 @@ def plausible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
                   for (x, y), m in zip(map(_folded, zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())), most)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return (pairs.join(right, "b").join(left, "a")
+    return (pairs.toDF("ka", "kb").join(right, "kb").join(left, "ka").filter("ka <> kb or a < b").drop("ka", "kb")
             .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
             .mapInArrow(run, "a long, b long"))
 
@@ -358,17 +376,18 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 def remaining_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
     """Links between members of a bucket that lie in different components so far.
 
-    ``buckets`` are those of three members or more; in smaller ones the pair of members has been
+    ``buckets`` are those of three members or more, by short fingerprint; in smaller ones the pair of members has been
     verified.  ``sets_of`` gives the shingle sets of a frame of fingerprints.  In buckets that hold several components, small sketches rule out most pairs; the
     pairs left join the members to groups.  The unit of exact comparison is such a group, where a
     member's set travels once per block of the group, or, for groups of more than GROUP members,
     each bucket.  A unit is cut into blocks of bounded size and every two blocks meet in a task,
     so each pair of a bucket is compared somewhere."""
-    held = (buckets.select(F.col("a").alias("bucket"), F.col("b").alias("fp")).distinct()
+    held = (buckets.select(F.col("a").alias("bucket"), F.col("b").alias("short")).distinct()
+            .join(sketches.select(short().alias("short"), "fp", "n"), "short").drop("short")
             .join(comps.toDF("fp", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
     several = (held.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
                .filter("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    held = write_scratch(held.join(several, "bucket").join(sketches.select("fp", "n"), "fp"), "open-buckets", folder)
+    held = write_scratch(held.join(several, "bucket"), "open-buckets", folder)
     parts = max(8, 4 * int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     units = _block_pairs(held.withColumnRenamed("bucket", "unit")).join(sketches.select("fp", "sketch"), "fp")
     near = (units.withColumn("part", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(parts))).groupBy("part")
@@ -419,13 +438,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_band = {r[0]: r[1] for r in sizes.filter("n > 0").groupBy(band.alias("band")).count().collect()}
     plan = plan_bands(per_band, found, percent)
     # about one signature per shingle; a part is sorted in memory, whatever the size of the table
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (seen["all"] or 0) * SIG.itemsize // PART_BYTES)
+    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (seen["all"] or 0) * WORD_BYTES // PART_BYTES)
     members = write_scratch(bucket_members(docs, k, plan, parts, text_col), "buckets", folder)
-    pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct(), "candidates", folder)
+    full = sizes.filter("n > 0").withColumn("short", short())
+    twins = full.groupBy("short").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1")
+    pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct()
+                          .union(twins.select("short", "short")), "candidates", folder)
 
     # One document per fingerprint that is a candidate.
     wanted = write_scratch(
-        sizes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp")
+        full.join(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct(), "short")
         .groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "wanted", folder)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -144,3 +144,25 @@ def test_linked_sets_always_share_a_signature():
             whole = {i: set(sig["key"][sig["fp"] == i].tolist()) for i in (3, 5)}
             short = {i: set(sig["key"][sig["fp"] == i - 1].tolist()) for i in (3, 5)}
             assert whole[3] & (whole[5] | short[5]) or whole[5] & short[3], (percent, forced, n)
+
+
+def test_a_signature_travels_in_eight_bytes():
+    import numpy as np
+    flat = np.sort(np.random.default_rng(1).integers(0, (1 << 64) - 1, 200, dtype=np.uint64))
+    sig = J.signatures(flat, np.array([0, 200]), np.array([(7 << 33) + 1], np.uint64), plan_bands({}, 400, 85))
+    words = J.packed(sig)
+    assert words.nbytes == 8 * len(sig)
+    assert (words >> np.uint64(32) == sig["key"] & np.uint64(0xFFFFFFFF)).all()
+    assert set((words & np.uint64(0xFFFFFFFF)).tolist()) <= {14, 15}
+
+
+def test_sets_of_one_short_fingerprint_keep_their_links(spark, monkeypatch):
+    """Short fingerprints that nearly all collide add candidates and lose no link."""
+    monkeypatch.setattr(J, "packed", lambda sig: (sig["key"] << J.U(32)) | (sig["fp"] >> J.U(62) << J.U(1)) | (sig["fp"] & J.U(1)))
+    monkeypatch.setattr(J, "short", lambda fp="fp": J.F.shiftrightunsigned(fp, 62) * 2 + 1)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([2, 4, 9, 30, 90]))]
+        rows += [(len(rows) + i, " ".join(edited(rng, base, rng.choice([0, 0.01, 0.02])))) for i in range(rng.choice([1, 3, 9]))]
+    assert run(spark, rows) == brute(rows)
