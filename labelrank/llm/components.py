@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelrank.session import scratch_path
+from labelrank.session import scratch_path, shuffles_removed
 
 
 def write_scratch(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -15,7 +15,8 @@ def write_scratch(df: DataFrame, name: str, folder: str | None = None) -> DataFr
     path = scratch_path(df.sparkSession, name)
     if folder is not None:
         path = f"{folder}/{path.rsplit('/', 1)[1]}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

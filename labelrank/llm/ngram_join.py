@@ -20,6 +20,7 @@ real links between components leave them.  No pair table of a group is ever emit
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ PART_BYTES = 2 << 20
 #: A signature travels as one word: the low half of its key and the short fingerprint (31 bits, and
 #: the bit of a whole subset).  Sets that share one by chance only become candidates of each other.
 WORD_BYTES, LOW = 8, U(0xFFFFFFFF)
+#: Signatures that are shuffled at once, for each shingle of the texts; where larger tables need more of them
+#: (see plan_bands), their buckets are made in several passes over the texts, and the disk stays in proportion.
+PASS_WORDS = 1.0
 #: Chance that an element of one set lies in an unrelated set, for the cost model only.
 CHANCE = 0.1
 
@@ -82,6 +86,16 @@ def plan_bands(sizes: dict[int, int], max_size: int, percent: int) -> list[tuple
     return plan
 
 
+def signature_count(plan: list[tuple[int, int, int, int]], sizes: dict[int, int]) -> float:
+    """Signatures of ``sizes`` sets per band under ``plan``, about: one per segment and one per element of those with deletions."""
+    count = 0.0
+    for band, n_docs in sizes.items():
+        low, high = plan[band][:2]
+        for _, _, m, d in plan[max(0, band - 1):band + 1]:
+            count += n_docs * (m + d * (low + high) / 2 / m)
+    return count
+
+
 def _segment_sums(flat, offs, docs, m):
     """Sum of element hashes per (document, segment), the segment of each element."""
     n = np.diff(offs)[docs]
@@ -190,9 +204,10 @@ def short(fp="fp") -> Column:
     return F.shiftrightunsigned(fp, 33) * 2 + 1
 
 
-def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) -> DataFrame:
+def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str, turn: int = 0, turns: int = 1) -> DataFrame:
     """Rows (kind, a, b): kind 0, candidate (first member, other member) of a bucket; kind 1,
     (bucket, member) of buckets with three members or more.  Members are short fingerprints.
+    Of the parts, those that fall on ``turn`` of ``turns``.
 
     Signatures travel as packed blocks, one per task batch and part, and are sorted in numpy."""
     @K.tidy
@@ -203,9 +218,14 @@ def bucket_members(docs: DataFrame, k: int, plan, parts: int, text_col: str) ->
             if not len(sig):
                 continue
             part = ((sig["key"] >> U(33)) % U(parts)).astype(np.int64)
+            if turns > 1:
+                own = part % turns == turn
+                sig, part = sig[own], part[own]
             order = np.argsort(part, kind="stable")
             offs = np.searchsorted(part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(offs))
+            if not len(full):
+                continue
             blobs = K.binary_column(packed(sig[order]), np.append(offs[:-1][full], offs[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blobs], ["part", "blob"])
 
@@ -439,7 +459,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plan = plan_bands(per_band, found, percent)
     # about one signature per shingle; a part is sorted in memory, whatever the size of the table
     parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (seen["all"] or 0) * WORD_BYTES // PART_BYTES)
-    members = write_scratch(bucket_members(docs, k, plan, parts, text_col), "buckets", folder)
+    turns = max(1, math.ceil(signature_count(plan, per_band) / (PASS_WORDS * max(1, seen["all"] or 0))))
+    members = [write_scratch(bucket_members(docs, k, plan, parts, text_col, i, turns), "buckets", folder) for i in range(turns)]
+    members = reduce(DataFrame.unionByName, members)
     full = sizes.filter("n > 0").withColumn("short", short())
     twins = full.groupBy("short").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1")
     pairs = write_scratch(members.filter("kind = 0").select("a", "b").distinct()

@@ -166,3 +166,25 @@ def test_sets_of_one_short_fingerprint_keep_their_links(spark, monkeypatch):
         base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([2, 4, 9, 30, 90]))]
         rows += [(len(rows) + i, " ".join(edited(rng, base, rng.choice([0, 0.01, 0.02])))) for i in range(rng.choice([1, 3, 9]))]
     assert run(spark, rows) == brute(rows)
+
+
+def test_buckets_in_several_passes(spark, monkeypatch):
+    """Signatures beyond a budget are shuffled in turns; the buckets are the same."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(200)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] + ["x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    turns, made = [], J.bucket_members
+
+    def counted(*a):
+        turns.append(a[5:])
+        return made(*a)
+    monkeypatch.setattr(J, "bucket_members", counted)
+    once = sorted(map(tuple, ngram_jaccard_join(docs).collect()))
+    assert turns == [(0, 1)]
+    monkeypatch.setattr(J, "PASS_WORDS", 0.1)
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == once
+    assert len(turns) > 3 and [t[0] for t in turns[1:]] == list(range(turns[1][1]))
+    assert len({c for _, _, c in once}) == 60
