@@ -160,7 +160,7 @@ RUN_SQL = "SELECT qid, pid, CAST(rank AS BIGINT) AS rank, round(score, 6) AS sco
 
 def _written_run(spark, sf):
     path = scratch_path(spark, "ranking")
-    io.write_ranking(fx.fx_run(spark, sf), path)
+    io.write_ranking(fx.fx_run(spark, sf, ordered=True), path, in_order=True, compression="gzip")
     return path
 
 
@@ -185,7 +185,7 @@ def q_read_run(spark, sf):
     "round(score, 6) AS score FROM fx_run"))
 def q_write_trec_run(spark, sf):
     path = scratch_path(spark, "trec-run")
-    io.write_trec_run(fx.fx_run(spark, sf), path)
+    io.write_trec_run(fx.fx_run(spark, sf, ordered=True), path, in_order=True, compression="gzip")
     r = io.read_run_trec(spark, path)
     return r.select("qid", "docid", "rank", F.round("score", 6).alias("score"))
 
@@ -194,7 +194,7 @@ def q_write_trec_run(spark, sf):
                                "FROM fx_run"))
 def q_read_run_trec(spark, sf):
     path = scratch_path(spark, "trec-run")
-    io.write_trec_run(fx.fx_run(spark, sf), path)
+    io.write_trec_run(fx.fx_run(spark, sf, ordered=True), path, in_order=True, compression="gzip")
     return io.read_run_trec(spark, path).select("qid", "docid", "rank")
 
 

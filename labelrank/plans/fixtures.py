@@ -119,10 +119,10 @@ def fx_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def fx_run(spark: SparkSession, sf: str, depth: int = RUN_DEPTH) -> DataFrame:
-    """Self-search of every embedding against every embedding, top ``depth``."""
+def fx_run(spark: SparkSession, sf: str, depth: int = RUN_DEPTH, ordered: bool = False) -> DataFrame:
+    """Self-search of every embedding against every embedding, top ``depth``; ``ordered`` as in ``knn_exact``."""
     v = fx_vectors(spark, sf)
-    return knn_exact(v.withColumnRenamed("id", "qid"), v.withColumnRenamed("id", "pid"), depth)
+    return knn_exact(v.withColumnRenamed("id", "qid"), v.withColumnRenamed("id", "pid"), depth, ordered=ordered)
 
 
 def fx_qrels(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,11 +7,14 @@ reference.  File order, where it matters, is recovered from
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelrank.functions.text import PY_WHITESPACE, py_strip
+from labelrank.session import shuffles_removed
 
 PASSAGE = T.StructType([T.StructField("docid", T.StringType()), T.StructField("title", T.StringType()),
                         T.StructField("text", T.StringType())])
@@ -28,6 +31,8 @@ ANNOTATION = T.StructType([T.StructField("query_id", T.StringType()),
                            T.StructField("utility_output", T.StringType()),
                            T.StructField("utility_ranking", T.StringType())])
 
+SPLIT = pa.schema([("up", pa.bool_())] + [(c, pa.int64()) for c in ("q0", "r0", "q1", "r1")])
+
 
 def _fail(msg: str, line) -> F.Column:
     return F.raise_error(F.concat(F.lit(f"malformed {msg} line: "), F.coalesce(line, F.lit("null"))))
@@ -190,15 +195,50 @@ def read_teacher_scores(spark: SparkSession, paths: list[str] | str) -> DataFram
     return rows.groupBy("qid", "did").agg(F.max_by("score", "__o").alias("score"))
 
 
+def _each_rank_once(lines: DataFrame, max_rank: int) -> bool:
+    """Whether every split of a run ascends in (qid, rank) and no two splits overlap, as written in order: then
+    no (qid, rank) has two lines.  Not so where a line is malformed.  One small row per split is collected."""
+    def told(batches):
+        done, at = [], None  # (ascends, first and last key) of the splits read; the split being read
+        for batch in (b for b in batches if b.num_rows):
+            split, block, q, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sound = batch.column(2).null_count == 0 and batch.column(3).null_count == 0
+            sound = bool(sound and ((r >= 1) & (r <= max_rank)).all())
+            if not sound:
+                q, r = np.zeros(len(split), np.int64), np.zeros(len(split), np.int64)
+            cuts = [0, *(np.flatnonzero((split[1:] != split[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(split)]
+            for i, j in zip(cuts, cuts[1:]):
+                up = sound and bool(((q[i + 1:j] > q[i:j - 1]) | ((q[i + 1:j] == q[i:j - 1]) & (r[i + 1:j] > r[i:j - 1]))).all())
+                first, last = (int(q[i]), int(r[i])), (int(q[j - 1]), int(r[j - 1]))
+                if done and at == (split[i], block[i]):
+                    done[-1] = [done[-1][0] and up and done[-1][2] < first, done[-1][1], last]
+                else:
+                    done.append([up, first, last])
+                at = (split[i], block[i])
+        yield pa.RecordBatch.from_pylist([{"up": u, "q0": a[0], "r0": a[1], "q1": b[0], "r1": b[1]} for u, a, b in done], SPLIT)
+
+    df = _fields(lines.withColumn("__s", F.xxhash64("_metadata.file_path")).withColumn("__b", F.col("_metadata.file_block_start")), "\t")
+    f = F.col("__f")
+    p = _int(F.get(f, 1))
+    keys = df.select("__s", "__b", F.when(p.isNotNull(), _int(F.get(f, 0))).alias("q"), _int(F.get(f, 2)).alias("r"))
+    seen = sorted(keys.mapInArrow(told, "up boolean, q0 long, r0 long, q1 long, r1 long").collect(), key=lambda s: (s.q0, s.r0))
+    return all(s.up for s in seen) and all((a.q1, a.r1) < (b.q0, b.r0) for a, b in zip(seen, seen[1:]))
+
+
 def read_run(spark: SparkSession, path, max_rank: int = 1000) -> DataFrame:
     """``qid \\t pid \\t rank [\\t score]``; the last line of a (qid, rank) wins; ranks
-    outside 1..max_rank or malformed lines fail the job."""
-    df = _fields(read_lines(spark, path, numbered=True), "\t")
+    outside 1..max_rank or malformed lines fail the job.  Files in order, as ``write_ranking`` makes them, are
+    read without a shuffle."""
+    plain = read_lines(spark, path)
+    once = _each_rank_once(plain, max_rank)
+    df = _fields(plain if once else line_numbers(plain), "\t")
     f = F.col("__f")
     q, p, r = _int(F.get(f, 0)), _int(F.get(f, 1)), _int(F.get(f, 2))
     bad = q.isNull() | p.isNull() | r.isNull() | (r < 1) | (r > max_rank)
     rows = df.select(F.when(bad, _fail("run", F.col("value"))).otherwise(q).alias("qid"), p.alias("pid"),
-                     r.alias("rank"), F.get(f, 3).try_cast("double").alias("score"), "line_no")
+                     r.alias("rank"), F.get(f, 3).try_cast("double").alias("score"), *([] if once else ["line_no"]))
+    if once:
+        return rows.select("qid", "rank", "pid", "score")
     # dealt by query, so that what follows per query needs no second shuffle
     return rows.repartition("qid").groupBy("qid", "rank").agg(F.max_by("pid", "line_no").alias("pid"),
                                                               F.max_by("score", "line_no").alias("score"))
@@ -223,28 +263,37 @@ def read_id_map(spark: SparkSession, path, reverse: bool = False) -> DataFrame:
     return df.select(F.get(f, a).alias("id"), _int(F.get(f, b)).alias("offset"))
 
 
-def write_lines(df: DataFrame, line: F.Column, path: str, order: list[str] | None = None) -> None:
+def write_lines(df: DataFrame, line: F.Column, path: str, order: list[str] | None = None,
+                compression: str | None = None) -> None:
     """One text line per row; with ``order`` the files are written in that global
-    order (range partitioned, so part files follow the order)."""
+    order (range partitioned, so part files follow the order).  With ``compression`` (gzip) the files hold the
+    same lines and are read in the same way, a file in one task."""
     out = df.select(line.alias("value"))
     if order:
         out = df.orderBy(*order).select(line.alias("value"))
-    out.write.mode("overwrite").text(path)
+    out = out.write.mode("overwrite")
+    if compression:
+        out = out.option("compression", compression).option("zlib.compress.level", "BEST_SPEED")
+    with shuffles_removed(df.sparkSession):
+        out.text(path)
+
 
+def write_ranking(run: DataFrame, path: str, qid="qid", pid="pid", rank="rank", score="score", *,
+                  in_order: bool = False, compression: str | None = None) -> None:
+    """``qid \\t pid \\t rank \\t score`` lines, queries in order, ranks ascending.
 
-def write_ranking(run: DataFrame, path: str, qid="qid", pid="pid", rank="rank", score="score") -> None:
-    """``qid \\t pid \\t rank \\t score`` lines, queries in order, ranks ascending."""
+    ``in_order``: the run's partitions are in this order already (``knn_exact(ordered=True)``)."""
     line = F.concat_ws("\t", F.col(qid).cast("string"), F.col(pid).cast("string"), F.col(rank).cast("string"),
                        F.col(score).cast("string"))
-    write_lines(run, line, path, [qid, rank])
+    write_lines(run, line, path, None if in_order else [qid, rank], compression)
 
 
 def write_trec_run(run: DataFrame, path: str, tag: str = "labelrank", qid="qid", pid="pid", rank="rank",
-                   score="score") -> None:
-    """``qid Q0 docid rank score tag`` lines."""
+                   score="score", *, in_order: bool = False, compression: str | None = None) -> None:
+    """``qid Q0 docid rank score tag`` lines, in the order of :func:`write_ranking`."""
     line = F.concat_ws(" ", F.col(qid).cast("string"), F.lit("Q0"), F.col(pid).cast("string"),
                        F.col(rank).cast("string"), F.col(score).cast("string"), F.lit(tag))
-    write_lines(run, line, path, [qid, rank])
+    write_lines(run, line, path, None if in_order else [qid, rank], compression)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
